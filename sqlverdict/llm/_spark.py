@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of words in every operator of this package.
@@ -87,3 +87,12 @@ def unused(prefix: str, columns: tuple[str, ...]) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def restricted(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
+    """As many of the rows of each id as kept has (the first of equal ids by their content), with all columns."""
+    own, number, nth = (unused(f"llm_{x}", tuple(docs.columns)) for x in ("id", "number", "nth"))
+    counts = kept.groupBy(F.col(id_col).alias(own)).agg(F.count(F.lit(1)).alias(number))
+    joined = docs.join(counts, F.col(id_col).eqNullSafe(F.col(own)))
+    order = Window.partitionBy(own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return joined.withColumn(nth, F.row_number().over(order)).where(F.col(nth) <= F.col(number)).select(*[F.col(f"`{c}`") for c in docs.columns])
