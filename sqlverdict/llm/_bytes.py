@@ -97,3 +97,10 @@ def ranges(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def spread(counts: np.ndarray) -> np.ndarray:
     """The index of the document of each word, from the number of words by document."""
     return np.repeat(np.arange(len(counts)), counts)
+
+
+def row_keys(data: np.ndarray, offsets: np.ndarray, ids: pa.Array, p: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each row's id and text."""
+    text = ranges(prefix(data) if p is None else p, offsets[:-1], offsets[1:])
+    own, at = flat(ids.cast(pa.string()))
+    return mix(text ^ (ranges(prefix(own), at[:-1], at[1:]) * np.uint64(3) + np.uint64(1))).view(np.int64)

@@ -73,11 +73,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, p: np.ndarray) -> tuple[np.nd
     return np.searchsorted(offsets, place, "right") - 1, place, B.ranges(p, place, place + GRAM)
 
 
-def _key(p: np.ndarray, offsets: np.ndarray, ids: pa.Array) -> np.ndarray:
-    own = B.ranges(B.prefix(x[0]), x[1][:-1], x[1][1:]) if len((x := B.flat(ids.cast(pa.string())))[0]) else np.zeros(len(ids), np.uint64)
-    return B.mix(B.ranges(p, offsets[:-1], offsets[1:]) ^ (own * np.uint64(3) + np.uint64(1))).view(np.int64)
-
-
 def _anchored(docs: DataFrame) -> DataFrame:
     """A row for each anchor: h, full (hash of its context), key (of the row), pos, before and after (bytes of context)."""
 
@@ -88,7 +83,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
             before = np.minimum(SPAN - 1, q - offsets[doc])
             after = np.minimum(LENGTH, offsets[doc + 1] - q)
             full = B.mix(B.ranges(p, q - before, q + after) + (before * 256 + after).astype(np.uint64))
-            columns = [h.view(np.int64), full.view(np.int64), _key(p, offsets, part.column(0))[doc], (q - offsets[doc]).astype(np.int32), before.astype(np.int16), after.astype(np.int16)]
+            columns = [h.view(np.int64), full.view(np.int64), B.row_keys(data, offsets, part.column(0), p)[doc], (q - offsets[doc]).astype(np.int32), before.astype(np.int16), after.astype(np.int16)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "full", "key", "pos", "before", "after"])
 
     return docs.mapInArrow(run, "h bigint, full bigint, key bigint, pos int, before smallint, after smallint")
@@ -103,7 +98,7 @@ def _bodies(docs: DataFrame) -> DataFrame:
         for part, data, offsets in B.chunks(batches):
             raw = data.tobytes()
             bodies = [pack.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(_key(B.prefix(data), offsets, part.column(0))), part.column(0), pa.array(bodies, pa.binary())], ["key", "id", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(B.row_keys(data, offsets, part.column(0))), part.column(0), pa.array(bodies, pa.binary())], ["key", "id", "body"])
 
     return docs.mapInArrow(run, StructType([StructField("key", LongType()), StructField("id", docs.schema["id"].dataType), StructField("body", BinaryType())]))
 
