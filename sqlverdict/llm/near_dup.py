@@ -9,7 +9,7 @@ Two texts agree in a register with a probability equal to their similarity.
 
 1. Texts with the same words are one node, so that exact copies cost no pairs.
 2. Bands of registers make buckets. All of a bucket are compared with one member, the pivot: no pairs within it.
-3. A pair whose signatures agree in too few registers is passed over (at similarity 0.8: 1 in 10^11); the others are
+3. A pair whose signatures agree in too few registers is passed over (at similarity 0.8: under 1 in 10^9); the others are
    verified exactly from their texts.
 4. Components of the links are merged. A bucket with members of different components that haven't been compared
    yet gets new pivots among them, more each round, until none is left: every pair in a bucket is either
@@ -36,10 +36,10 @@ from sqlverdict.llm._spark import dropped, load, prepare, restricted, written
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
 #: Registers that two signatures agree in at least, to be verified.
-AGREE = 66
+AGREE = 160
 _STEP = 0xD1B54A32D192ED03
 
 
@@ -188,20 +188,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     nodes = written(all_rows.groupBy("d1", "d2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).select("d1", "d2", F.col("first.id").alias("id"), F.col("first.row").alias("row"), "n"), "nodes")
     own = all_rows.select("row", "bands", "sig").join(nodes.select("row"), "row", "left_semi")
-    members = written(own.select("row", F.explode("bands").alias("key")), "members")
+    every = own.select("row", F.explode("bands").alias("key"))
     sigs = own.select("row", "sig")
+    wide = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(every.join(wide, "key"), "members")
+    members = shared.select("key", "row")
+    # who meets most others is most likely what they were copied from: the first pivot of its buckets
+    weight = shared.groupBy("row").agg(F.sum("n").alias("w"))
+    pivots = shared.join(weight, "row").groupBy("key").agg(F.max_by("row", F.struct("w", -F.col("row"))).alias("b"))
     links = spark.createDataFrame([], "a bigint, b bigint")
     tested = spark.createDataFrame([], "key bigint, row bigint")
-    open_, slices = members, 1
+    open_, slices = members.withColumn("comp", F.col("row")), 1
     while True:
-        slot = F.pmod(F.xxhash64("row"), F.lit(slices))
-        wide = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        pivots = written(open_.groupBy("key", slot.alias("slot")).agg(F.min("row").alias("b")).join(wide, "key").select("key", "b"), "pivots")
+        if slices > 1:
+            slot = F.pmod(F.xxhash64("row"), F.lit(slices))
+            pivots = open_.groupBy("key", slot.alias("slot")).agg(F.min("row").alias("b")).select("key", "b")
+        pivots = written(pivots, "pivots")
         met = open_.withColumnRenamed("row", "a").join(pivots, "key").where("a <> b")
         if slices > 1:
             met = met.join(pivots.select("key", F.col("b").alias("a"), F.lit(True).alias("twice")), ["key", "a"], "left").where("twice IS NULL OR a > b")
-            if "comp" in open_.columns:
-                met = met.join(open_.select("key", F.col("row").alias("b"), F.col("comp").alias("other")), ["key", "b"]).where("comp <> other")
+            met = met.join(open_.select("key", F.col("row").alias("b"), F.col("comp").alias("other")), ["key", "b"]).where("comp <> other")
         pairs = met.select("a", "b").distinct()
         pairs = pairs.join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sb")), "b")
         near = written(_agreeing(pairs), "pairs")
@@ -218,7 +224,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         open_ = written(rest.join(split, "key"), "open")
         if open_.isEmpty():
             break
-        slices = min(slices * 16, 4096)
+        slices = min(slices * 8, 4096)
     grouped = nodes.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     best = grouped.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.sum("n").alias("class_size"))
     found = written(grouped.join(best, "comp").select("d1", "d2", F.col("best.id").alias("class_id"), F.col("best.row").alias("kept_row"), "class_size"), "classes")
