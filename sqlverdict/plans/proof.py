@@ -58,7 +58,8 @@ class Query:
             spark._jsparkSession.sessionState().sqlParser().parsePlan(text.rstrip(";").rstrip())
         except FAILURES as e:
             # a semicolon with more after it is a second statement
-            kind = "not_single_statement" if re.search(r";\s*\S", text) and "';'" in str(e) else "parse_failed"
+            bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "", text)
+            kind = "not_single_statement" if re.search(r";\s*\S", bare) else "parse_failed"
             raise _Refused(kind, str(e).split("\n")[0]) from e
         try:
             self.execution = spark.sql(text.rstrip(";"))._jdf.queryExecution()
