@@ -84,10 +84,11 @@ _CASES: weakref.WeakKeyDictionary[Callable[..., Any], list[EvalCase]] = weakref.
 def eval_case(*cases: EvalCase, **fields: Any) -> Callable[[Callable[..., Any]], Callable[..., Any]]:
     """Attach cases to a test function; the pytest plugin runs it once for each."""
 
+    own = [*cases, *([EvalCase(**fields)] if fields else [])]
+    if not own:
+        raise ValueError("eval_case needs a case")
+
     def mark(function: Callable[..., Any]) -> Callable[..., Any]:
-        own = [*cases, *([EvalCase(**fields)] if fields else [])]
-        if not own:
-            raise ValueError("eval_case needs a case")
         _CASES[function] = [*own, *_CASES.get(function, [])]
         return function
 
