@@ -127,7 +127,9 @@ def _distinct(docs: DataFrame, text_col: str) -> list[np.ndarray]:
             found = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((pair & ((1 << BITS) - 1)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([found], ["f"])
 
-    return [np.asarray(r, np.int64) for r in docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "f array<int>").toArrow().column("f").to_pylist()]
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "f array<int>").toArrow().column("f")
+    # views of Arrow's own arrays: a Python list of the numbers would take many times their size
+    return [part.values.to_numpy()[a:b] for part in found.chunks for a, b in zip(part.offsets.to_numpy()[:-1].tolist(), part.offsets.to_numpy()[1:].tolist(), strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> Model:
