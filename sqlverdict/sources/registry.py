@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
-import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from sqlverdict.model import SourceRef
+from sqlverdict.sources.session import shared_dir
 
 
 def _files(spark: SparkSession, ref: SourceRef) -> dict[str, DataFrame]:
@@ -44,7 +45,7 @@ def _sqlite(spark: SparkSession, ref: SourceRef) -> dict[str, DataFrame]:
             ddl = [spark_kind(k) for k in kinds]
             cast = {"bigint": int, "double": float, "binary": bytes, "string": lambda v: v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)}
             schema = StructType.fromDDL(", ".join(f"c{i} {k}" for i, k in enumerate(ddl)))
-            folder = f"{tempfile.mkdtemp()}/{abs(hash(name))}" if "work" not in ref.config else f"{ref.config['work']}/{name}"
+            folder = f"{shared_dir(spark)}/sqlite-{uuid.uuid4().hex}"
             frame = None
             # tables larger than a batch go to Parquet batch by batch, not through the driver's memory at once
             while rows := cursor.fetchmany(SQLITE_ROWS):

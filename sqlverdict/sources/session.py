@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import threading
 import time
 import uuid
@@ -16,6 +17,13 @@ from sqlverdict.model import ExecutionError, ExecutionResult
 from sqlverdict.operators.columns import duplicates
 
 T = TypeVar("T")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see; a temporary one only where no cluster names one, as in tests."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+
+
 FAILURES = (PySparkException, Py4JJavaError)
 
 
