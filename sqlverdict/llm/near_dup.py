@@ -186,16 +186,17 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, class_id (the smallest id of its class), class_size, kept; and sha256, the digest of its text."""
+    """One row a document: id, class_id (the smallest id of its class), class_size, kept."""
     spark = docs.sparkSession
     prepare(spark)
     all_rows = written(_sketched(docs, id_col, text_col), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     nodes = written(all_rows.groupBy("d1", "d2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).select("d1", "d2", F.col("first.id").alias("id"), F.col("first.row").alias("row"), "n"), "nodes")
     own = all_rows.select("row", "bands", "sig").join(nodes.select("row"), "row", "left_semi")
-    every = own.select("row", "sig", F.explode("bands").alias("key"))
+    every = own.select("row", F.explode("bands").alias("key"))
     wide = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(every.join(wide, "key"), "members")
+    # most keys are one row's alone; signatures go only with the others
+    members = written(every.join(wide, "key").join(own.select("row", "sig"), "row"), "members")
     # who meets most others is most likely what they were copied from: the first pivot of its buckets
     weight = members.groupBy("row").agg(F.sum("n").alias("w"))
     chosen = members.join(weight, "row").groupBy("key").agg(F.max_by("row", F.struct("w", -F.col("row"))).alias("row"))
