@@ -36,6 +36,8 @@ from sqlverdict.llm._spark import dropped, load, prepare, restricted, written
 
 WORDS = 5
 THRESHOLD = 0.8
+#: What rounding may take from a similarity: far above the error of its sums, far below the distance of two similarities of texts.
+MARGIN = 1e-9
 BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
 #: Longs that hold a short signature.
@@ -179,7 +181,7 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
         for part in batches:
             for at in range(0, part.num_rows, 64):
                 some = part.slice(at, 64)
-                good = [similarity(*x, *y) >= threshold for x, y in zip(sets(some.column(2).to_pylist()), sets(some.column(3).to_pylist()), strict=True)]
+                good = [similarity(*x, *y) >= threshold - MARGIN for x, y in zip(sets(some.column(2).to_pylist()), sets(some.column(3).to_pylist()), strict=True)]
                 yield some.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")

@@ -1,0 +1,22 @@
+"""What operators once left out: pairs at the threshold, rows of one id, values beside other numbers, odd keys."""
+
+from sqlverdict.llm import near_dup
+
+
+def named(name, n):
+    return [f"{name}{i}" for i in range(n)]
+
+
+# 3: near duplicates
+
+
+def test_pairs_at_the_threshold_are_linked(spark):
+    rows, links = [], set()
+    for k in range(8):
+        # 18 shingles each, 16 in common: 16/20; 13 and 14 shingles, 12 in common: 12/15
+        for i, (n, a, b) in enumerate([(20, 2, 2), (16, 1, 2), (20, 2, 3)]):
+            one, base = 6 * k + 2 * i, named(f"w{k}x{i}y", n)
+            rows += [(one, " ".join(base + named("a", a))), (one + 1, " ".join(base + named("b", b)))]
+            links |= {(one, one), (one + 1, one if (a, b) != (2, 3) else one + 1)}
+    found = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in found} == links
