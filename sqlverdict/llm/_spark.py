@@ -89,10 +89,17 @@ def unused(prefix: str, columns: tuple[str, ...]) -> str:
     return name
 
 
-def restricted(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
-    """As many of the rows of each id as kept has (the first of equal ids by their content), with all columns."""
-    own, number, nth = (unused(f"llm_{x}", tuple(docs.columns)) for x in ("id", "number", "nth"))
-    counts = kept.groupBy(F.col(id_col).alias(own)).agg(F.count(F.lit(1)).alias(number))
-    joined = docs.join(counts, F.col(id_col).eqNullSafe(F.col(own)))
-    order = Window.partitionBy(own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return joined.withColumn(nth, F.row_number().over(order)).where(F.col(nth) <= F.col(number)).select(*[F.col(f"`{c}`") for c in docs.columns])
+def text_sha(column: str = "text") -> Column:
+    """SHA-256 of a document's text as it is."""
+    return F.unhex(F.sha2(text_of(column).cast("binary"), 256))
+
+
+def restricted(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and text's SHA-256 kept has (id, sha), one of each such pair, with all columns."""
+    own, own_sha, mine, order, nth = (unused(f"llm_{x}", tuple(docs.columns)) for x in ("id", "sha", "mine", "order", "nth"))
+    pairs = kept.select(F.col("id").alias(own), F.col("sha").alias(own_sha))
+    joined = docs.withColumn(mine, text_sha(text_col)).join(pairs, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(mine) == F.col(own_sha)))
+    # rows that repeat both id and text: the first by their content
+    placed = joined.withColumn(order, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    first = Window.partitionBy(own, own_sha).orderBy(order)
+    return placed.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

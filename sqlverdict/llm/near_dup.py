@@ -22,6 +22,7 @@ texts of any length are used whole; only id and text are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +122,7 @@ def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: id, words' digests, bands, short signature, sha256 and compressed text."""
+    """One row a document: id, words' digests, bands, short signature, compressed text and the SHA-256 of the text."""
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
     kind = docs.select(id_col).schema[0].dataType
@@ -143,13 +144,14 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             short[:, :REGISTERS] = who >> np.uint64(60)
             short = np.bitwise_or.reduce(short.reshape(total, SHORT, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
             raw = data.tobytes()
-            bodies = [pack.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            bodies, shas = [pack.compress(t) for t in texts], [hashlib.sha256(t).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *[pa.array(np.ascontiguousarray(digests[:, k]).view(np.int64)) for k in range(2)], pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.FixedSizeListArray.from_arrays(pa.array(short.reshape(-1).view(np.int64)), SHORT).cast(pa.list_(pa.int64())), pa.array(bodies, pa.binary())],
-                ["id", "d1", "d2", "bands", "sig", "body"],
+                [part.column(0), *[pa.array(np.ascontiguousarray(digests[:, k]).view(np.int64)) for k in range(2)], pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.FixedSizeListArray.from_arrays(pa.array(short.reshape(-1).view(np.int64)), SHORT).cast(pa.list_(pa.int64())), pa.array(bodies, pa.binary()), pa.array(shas, pa.binary())],
+                ["id", "d1", "d2", "bands", "sig", "body", "sha"],
             )
 
-    schema = StructType([StructField("id", kind), StructField("d1", LongType()), StructField("d2", LongType()), StructField("bands", ArrayType(LongType())), StructField("sig", ArrayType(LongType())), StructField("body", BinaryType())])
+    schema = StructType([StructField("id", kind), StructField("d1", LongType()), StructField("d2", LongType()), StructField("bands", ArrayType(LongType())), StructField("sig", ArrayType(LongType())), StructField("body", BinaryType()), StructField("sha", BinaryType())])
     text = F.col(text_col).cast("string").alias("text")
     return docs.select(F.col(id_col).alias("id"), text).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
@@ -187,8 +189,8 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, class_id (the smallest id of its class), class_size, kept."""
+def _classed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and for each node (d1, d2) class_id, class_size and the row that its class keeps."""
     spark = docs.sparkSession
     prepare(spark)
     all_rows = written(_sketched(docs, id_col, text_col), "sketches")
@@ -235,12 +237,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     grouped = nodes.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     best = grouped.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.sum("n").alias("class_size"))
     found = written(grouped.join(best, "comp").select("d1", "d2", F.col("best.id").alias("class_id"), F.col("best.row").alias("kept_row"), "class_size"), "classes")
+    return all_rows, found
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, class_id (the smallest id of its class), class_size, kept."""
+    all_rows, found = _classed(docs, threshold, id_col, text_col)
     return all_rows.select("id", "d1", "d2", "row").join(found, ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", F.col("class_size").cast("long").alias("class_size"), (F.col("row") == F.col("kept_row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, with all its columns."""
-    return restricted(docs, classes(docs, threshold, id_col, text_col).where("kept").select(id_col), id_col)
+    """One document of each class, with all its columns: the one that classes() keeps, told by its id and text."""
+    all_rows, found = _classed(docs, threshold, id_col, text_col)
+    kept = all_rows.select("id", "sha", "row").join(found.select(F.col("kept_row").alias("row")), "row", "left_semi")
+    return restricted(docs, kept, id_col, text_col)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,3 +20,22 @@ def test_pairs_at_the_threshold_are_linked(spark):
             links |= {(one, one), (one + 1, one if (a, b) != (2, 3) else one + 1)}
     found = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.class_id) for r in found} == links
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    alone, copied, near = ([" ".join(named(f"{x}{k}y", 60)) for k in range(12)] for x in "abc")
+    rows = []
+    for k in range(12):
+        near[k] = copied[k] + " end"
+        # ids 100 + k and null have a unique text and one near that of the smaller id k
+        rows += [(k, copied[k]), (100 + k, alone[k]), (100 + k, near[k])]
+    rows += [(None, copied[k] + " more") for k in range(12)] + [(None, " ".join(named(f"d{k}y", 60))) for k in range(12)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(k, copied[k]) for k in range(12)] + [(100 + k, alone[k]) for k in range(12)] + rows[-12:]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
+def test_rows_that_repeat_id_and_text_stay_once(spark):
+    rows = [(1, "one two", "a"), (1, "one two", "b"), (None, "three", "a"), (None, "three", "a"), (None, None, "c"), (None, "", "c")]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, llm_sha string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "three"), (1, "one two")]
