@@ -8,7 +8,8 @@ Number kinds are validated and map onto valid values (mixed-radix Feistel: left
 half moved by a keyed function of the other, which permutes Z_a x Z_b for any a and b):
 
 * card: 13 to 19 digits that pass the Luhn check; all digits but the last are permuted and the check digit is set anew
-* phone: +1 numbers of the North American plan; area, exchange and line stay in their ranges
+* phone: +1 numbers of the North American plan; area, exchange and line stay in their ranges; numbers with an area
+  or exchange under 200 move among themselves
 * ipv4: four octets of 0 to 255
 * ssn: area, group and serial in the ranges that are issued
 * date: ISO dates that exist, of the years 1800 to 2199 (146097 = 189 x 773 days, so no cycle walking)
@@ -141,7 +142,11 @@ def _phone(m: Column, key: str) -> Column:
         area, exchange, line = (F.substr(d, F.lit(i), F.lit(n)).cast("long") for i, n in ((2, 3), (5, 3), (8, 4)))
         value = (area - 200) * 8_000_000 + (exchange - 200) * 10_000 + line
         new = _let(feistel(value, 800, 8_000_000, key, "phone"), lambda v: F.concat(F.lit("1"), _padded(_over(v, 8_000_000) + 200, 3), _padded(F.pmod(_over(v, 10_000), F.lit(800)) + 200, 3), _padded(F.pmod(v, F.lit(10_000)), 4)))
-        return F.when((area >= 200) & (exchange >= 200), _filled(m, new)).otherwise(m)
+        # 360,000 pairs outside the plan: 200 areas with any exchange, then 800 areas with 200 exchanges
+        pair = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        spread = lambda p: F.when(p < 200_000, p).otherwise((_over(p - 200_000, 200) + 200) * 1000 + F.pmod(p - 200_000, F.lit(200)))
+        other = _let(feistel(pair * 10_000 + line, 360_000, 10_000, key, "phone outside"), lambda v: F.concat(F.lit("1"), _padded(spread(_over(v, 10_000)), 6), _padded(F.pmod(v, F.lit(10_000)), 4)))
+        return _filled(m, F.when((area >= 200) & (exchange >= 200), new).otherwise(other))
 
     return _let(_digits(m), done)
 

@@ -1,6 +1,8 @@
 """What operators once left out: pairs at the threshold, rows of one id, values beside other numbers, odd keys."""
 
-from sqlverdict.llm import near_dup
+import re
+
+from sqlverdict.llm import near_dup, pii
 
 
 def named(name, n):
@@ -39,3 +41,15 @@ def test_rows_that_repeat_id_and_text_stay_once(spark):
     rows = [(1, "one two", "a"), (1, "one two", "b"), (None, "three", "a"), (None, "three", "a"), (None, None, "c"), (None, "", "c")]
     kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, llm_sha string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "three"), (1, "one two")]
+
+
+# 5: pseudonyms
+
+
+def test_phones_outside_the_plan(spark):
+    phones = [f"+1 ({a:03d}) {e:03d}-{n:04d}" for a in (0, 17, 132, 199, 200, 988) for e in (0, 199, 200, 555, 999) for n in (0, 7713, 9999)]
+    found = [r[0] for r in spark.createDataFrame([(p,) for p in phones], "p string").select(pii.pseudonym(pii.F.col("p"))).collect()]
+    valid = lambda p: p[4] >= "2" and p[9] >= "2"
+    assert all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p) for p in found)
+    assert len(set(found)) == len(phones)
+    assert all(a != b and valid(a) == valid(b) for a, b in zip(phones, found, strict=True))
