@@ -7,7 +7,8 @@ is stored and nothing is shuffled: the pseudonym is a function of the value and
 Number kinds are validated and map onto valid values (mixed-radix Feistel: left in Z_a, right in Z_b, each
 half moved by a keyed function of the other, which permutes Z_a x Z_b for any a and b):
 
-* card: 13 to 19 digits that pass the Luhn check; all digits but the last are permuted and the check digit is set anew
+* card: 13 to 19 digits that pass the Luhn check; all digits but the last are permuted and the check digit is set anew;
+  in a run of digit groups each such number that is whole groups (those in a usual layout first, then the longest)
 * phone: +1 numbers of the North American plan; area, exchange and line stay in their ranges; numbers with an area
   or exchange under 200 move among themselves
 * ipv4: four octets of 0 to 255
@@ -41,8 +42,13 @@ FORMS = {
     "date": r"(?<![\d\-])(?:18|19|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-]\d|\d)",
 }
+#: Between two groups of digits of a run: a date, an SSN or an IP address isn't part of it.
+GAP = rf"[ \-](?!{FORMS['date']}|{FORMS['ssn']}|{FORMS['ipv4']})"
+# a whole run of groups, of 13 digits or more, but no lone group of more than 19
+FORMS["card"] = rf"(?<![\d\-])(?=\d(?:(?:{GAP})?\d){{12}})(?!\d{{20,}}+(?!{GAP}\d))\d++(?:{GAP}\d++)*+"
+#: Usual layouts of card numbers.
+LAYOUTS = r"^(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}(?: \d{3})?|\d{4} \d{6} \d{4,5})$"
 ANY = "|".join(FORMS.values())
 
 
@@ -126,17 +132,54 @@ def _let(value: Column, then) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """One number with its check digit set anew."""
+
     def done(d: Column) -> Column:
         n = F.length(d) - 1
         low = (n / 2).cast("int")
         ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
         # the length is a tweak: numbers of different lengths never meet
         swapped = _let(_padded(feistel(F.substr(d, F.lit(1), n), ten(n - low), ten(low), key, "card"), n), lambda p: F.concat(p, F.pmod(-_luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)).cast("string")))
-        return F.when(F.pmod(_luhn_sum(d), F.lit(10)) == 0, _filled(m, swapped)).otherwise(m)
+        return _filled(m, swapped)
 
     return _let(_digits(m), done)
 
 
+def _cards(m: Column, key: str) -> Column:
+    """A run of digit groups with its valid card numbers replaced: text, and n, their number (1 if there is none)."""
+    joined = lambda groups, i, size: F.array_join(F.slice(groups, i + 1, size), " ")
+
+    def numbers(groups: Column, i: Column) -> Column:  # the valid numbers that begin at a group
+        def judged(size: Column, t: Column) -> Column:
+            good = F.when(F.length(_digits(t)).between(13, 19), F.pmod(_luhn_sum(_digits(t)), F.lit(10)) == 0).otherwise(F.lit(False))
+            return F.struct(t.rlike(LAYOUTS).alias("usual"), size.alias("size"), good.alias("good"))
+
+        sizes = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i))
+        return F.filter(F.transform(sizes, lambda size: _let(joined(groups, i, size), lambda t: judged(size, t))), lambda c: c["good"])
+
+    def scanned(groups: Column, valid: Column, usual: Column) -> Column:
+        def turn(s: Column, i: Column) -> Column:
+            # no number takes a part of a later one in a usual layout, unless it has such a layout itself
+            fits = F.filter(F.get(valid, i), lambda c: c["usual"] | ~F.exists(F.slice(usual, i + 2, c["size"] - 1), lambda u: u))
+            return _let(F.coalesce(F.array_max(fits)["size"], F.lit(0)), lambda size: F.when(i < s["free"], s).otherwise(_let(F.greatest(size, F.lit(1)), lambda k: added(s, i, size, k))))
+
+        def added(s: Column, i: Column, size: Column, k: Column) -> Column:
+            at = F.length(s["text"])  # pseudonyms are as long as what they replace
+            gap = F.when(i > 0, 1).otherwise(0)
+            part = F.substr(m, at + gap + 1, F.length(joined(groups, i, k)))
+            new = _let(part, lambda p: F.when(size > 0, _card(p, key)).otherwise(p))
+            return F.struct((i + k).alias("free"), F.concat(s["text"], F.substr(m, at + 1, gap), new).alias("text"), (s["n"] + F.when(size > 0, 1).otherwise(0)).alias("n"))
+
+        start = F.struct(F.lit(0).alias("free"), F.lit("").alias("text"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, turn, lambda s: F.struct(s["text"].alias("text"), F.greatest(s["n"], F.lit(1)).alias("n")))
+
+    def run(groups: Column) -> Column:
+        valid = F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: numbers(groups, i))
+        return _let(valid, lambda v: _let(F.transform(v, lambda c: F.exists(c, lambda x: x["usual"])), lambda usual: scanned(groups, v, usual)))
+
+    return _let(F.split(m, r"[ \-]"), run)
+
+
 def _phone(m: Column, key: str) -> Column:
     def done(d: Column) -> Column:  # 1, area, exchange, line
         area, exchange, line = (F.substr(d, F.lit(i), F.lit(n)).cast("long") for i, n in ((2, 3), (5, 3), (8, 4)))
@@ -189,27 +232,34 @@ def _secret(m: Column, key: str) -> Column:
 def kind_of(m: Column) -> Column:
     """Which form a match has."""
     whole = lambda k: m.rlike(f"^(?:{FORMS[k]})$")
-    tests = [("email", m.contains("@")), ("phone", m.startswith("+")), *[(k, whole(k)) for k in ("date", "ssn", "ipv4")], ("card", m.rlike(r"^\d[\d \-]{12,36}$") & F.length(_digits(m)).between(13, 19))]
+    tests = [("email", m.contains("@")), ("phone", m.startswith("+")), *[(k, whole(k)) for k in ("date", "ssn", "ipv4")], ("card", m.rlike(r"^\d{13,19}$|^\d+[ \-][\d \-]+$"))]
     return reduce(lambda rest, t: F.when(t[1], t[0]).otherwise(rest), reversed(tests), F.lit("secret"))
 
 
+def _replaced(m: Column, key: str) -> Column:
+    """The pseudonym of one match as text, and n, the number of values in it."""
+    by = {"email": _email, "phone": _phone, "date": _date, "ssn": _ssn, "ipv4": _ipv4}
+    one = lambda text: F.struct(text.alias("text"), F.lit(1).alias("n"))
+    return _let(kind_of(m), lambda k: F.when(k == "card", _cards(m, key)).otherwise(one(reduce(lambda rest, kind: F.when(k == kind, by[kind](m, key)).otherwise(rest), by, _secret(m, key)))))
+
+
 def pseudonym(m: Column, key: str = KEY) -> Column:
     """The pseudonym of one match."""
-    by = {"email": _email, "phone": _phone, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "card": _card}
-    return _let(kind_of(m), lambda k: reduce(lambda rest, kind: F.when(k == kind, by[kind](m, key)).otherwise(rest), by, _secret(m, key)))
+    return _replaced(m, key)["text"]
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str | None = None) -> DataFrame:
-    """docs with personal data in the text replaced; found_col gets the number of matches."""
+    """docs with personal data in the text replaced; found_col gets the number of values found."""
     text = text_of(text_col)
     # every form has a digit, an @ or one of the words before a secret: most texts are passed by with one cheap scan
     hit = text.rlike("[0-9@]") | text.contains("password=") | text.contains("token = ")
     parts = F.when(hit, F.struct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found"), F.split(text, ANY, -1).alias("pieces")))
 
     def rebuilt(x: Column) -> Column:  # the pieces between the matches are one more than the matches
-        new = F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(x["found"])), x["found"], lambda p, m: F.concat(p, pseudonym(m, key)))
-        whole = F.when(F.size(x["found"]) > 0, F.concat(F.array_join(new, ""), F.element_at(x["pieces"], -1))).otherwise(text)
-        return F.struct(whole.alias("text"), F.size(x["found"]).cast("long").alias("n"))
+        new = F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(x["found"])), x["found"], lambda p, m: _let(_replaced(m, key), lambda v: F.struct(F.concat(p, v["text"]).alias("text"), v["n"].alias("n"))))
+        whole = lambda parts: F.concat(F.array_join(parts["text"], ""), F.element_at(x["pieces"], -1))
+        done = lambda parts: F.struct(whole(parts).alias("text"), F.aggregate(parts["n"], F.lit(0), lambda s, n: s + n).cast("long").alias("n"))
+        return F.when(F.size(x["found"]) > 0, _let(new, done)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
 
     own = unused("llm_pii", tuple(docs.columns))
     done = docs.withColumn(own, F.when(hit, _let(parts, rebuilt)))

@@ -53,3 +53,23 @@ def test_phones_outside_the_plan(spark):
     assert all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p) for p in found)
     assert len(set(found)) == len(phones)
     assert all(a != b and valid(a) == valid(b) for a, b in zip(phones, found, strict=True))
+
+
+def test_cards_beside_other_numbers(spark):
+    card, spaced = "4041894974608795", "4041 8949 7460 8795"
+    rows = [f"card {card} 12", f"{spaced} 123", f"5 {card}", f"5 {spaced} 123", f"12 2027 {spaced}", f"1 2 3 4 5 6 7 {card} 12 27 123", f"{card} 70.123.182.155", f"{card} 2000-02-29", f"{card} {card}", f"{spaced}-12345678", card, "7 " * 3000 + "x", "12345678901234567890", "4041894974608796 12"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    found = {r.doc_id: r for r in pii.pseudonymize(frame, found_col="n").collect()}
+    digits = lambda t: re.sub(r"\D", "", t)
+    new = found[10].text
+    assert new != card
+    for k, t in enumerate(rows[:11]):
+        assert re.sub(r"\d+", "9", found[k].text) == re.sub(r"\d+", "9", t)
+        assert digits(found[k].text).count(new) == digits(t).count(card), t
+    assert [found[k].n for k in (0, 6, 7, 8, 12, 13)] == [1, 2, 2, 2, 0, 1]
+    assert "70.123.182.155" not in found[6].text
+    assert "2000-02-29" not in found[7].text
+    assert [found[k].text for k in (12, 13)] == rows[12:]
+    assert found[0].text == f"card {new} 12"
+    assert found[3].text.startswith("5 ")
+    assert found[3].text.endswith(" 123")
