@@ -18,7 +18,7 @@ half moved by a keyed function of the other, which permutes Z_a x Z_b for any a
 Text kinds (a Feistel network on strings: letters move among letters, digits among digits):
 
 * email: the local part
-* secret: access keys, and what follows password= or token =
+* secret: access keys, and what follows password= or token =, in whatever case
 
 Defined cases: a null or empty text stays empty; what looks like a value but is not valid stays as it is;
 repeated rows get equal results; texts of any length are one row's work; columns other than id and text are not used.
@@ -37,7 +37,7 @@ KEY = "corpus-pseudonyms-1"
 ROUNDS = 8
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=password=)[A-Za-z0-9]{8,}|(?<=token = \")[A-Za-z0-9]{16,}(?=\")",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?i:password)=)[A-Za-z0-9]{8,}|(?<=(?i:token) = \")[A-Za-z0-9]{16,}(?=\")",
     "phone": r"(?<![\d+])\+1 ?\(?\d{3}\)?[ \-]\d{3}-\d{4}(?!\d)",
     "date": r"(?<![\d\-])(?:18|19|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -252,7 +252,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", found_
     """docs with personal data in the text replaced; found_col gets the number of values found."""
     text = text_of(text_col)
     # every form has a digit, an @ or one of the words before a secret: most texts are passed by with one cheap scan
-    hit = text.rlike("[0-9@]") | text.contains("password=") | text.contains("token = ")
+    hit = text.rlike("[0-9@]") | text.contains("AKIA") | text.rlike("(?i:password)=|(?i:token) = ")
     parts = F.when(hit, F.struct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found"), F.split(text, ANY, -1).alias("pieces")))
 
     def rebuilt(x: Column) -> Column:  # the pieces between the matches are one more than the matches
