@@ -9,7 +9,7 @@ Two texts agree in a register with a probability equal to their similarity.
 
 1. Texts with the same words are one node, so that exact copies cost no pairs.
 2. Bands of registers make buckets. All of a bucket are compared with one member, the pivot: no pairs within it.
-3. A pair whose signatures agree in too few registers is passed over (at similarity 0.8: 3 in 10^5, at 0.85: under 1 in 10^8); the others are
+3. A pair whose signatures agree in too few registers is passed over (at similarity 0.8: under 1 in 10^7, at 0.85: under 1 in 10^15); the others are
    verified exactly from their texts.
 4. Components of the links are merged. A bucket with members of different components that haven't been compared
    yet gets new pivots among them (a small bucket as many as it needs, a large one more each round) until none is
@@ -45,8 +45,8 @@ REGISTERS = BANDS * ROWS
 SHORT = -(-REGISTERS // 16)
 #: Members of a bucket that may all be pivots.
 SMALL = 64
-#: Registers whose short forms (4 bits) two signatures may differ in, to be verified: 4 standard deviations above the mean at 0.8.
-DIFFER = 72
+#: Registers whose short forms (4 bits) two signatures may differ in, to be verified: 6 standard deviations above the mean at 0.8.
+DIFFER = 85
 NIBBLES = 0x1111111111111111
 _STEP = 0xD1B54A32D192ED03
 

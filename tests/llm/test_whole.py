@@ -24,6 +24,14 @@ def test_pairs_at_the_threshold_are_linked(spark):
     assert {(r.doc_id, r.class_id) for r in found} == links
 
 
+def test_pairs_of_rare_signatures_are_verified(spark):
+    # 9 shingles each, 8 in common: 8/10; they share a bucket and differ in 76 to 79 of 252 registers
+    odd = (20221, 24262, 73177, 96403)
+    rows = [(2 * i + j, " ".join([*named(f"w{k}y", 12), last])) for i, k in enumerate(odd) for j, last in enumerate("ab")]
+    found = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in found} == {(k, k - k % 2) for k, _ in rows}
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     alone, copied, near = ([" ".join(named(f"{x}{k}y", 60)) for k in range(12)] for x in "abc")
     rows = []
