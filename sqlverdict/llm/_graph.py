@@ -24,4 +24,5 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(edges.sparkSession, labels)
         labels = moved
         if moved.where("old <> comp").isEmpty():
+            dropped(edges.sparkSession, both)
             return moved.select("node", "comp")

@@ -20,6 +20,7 @@ ROOT = Path(__file__).resolve().parents[2]
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers hold, and see that the workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     context = spark.sparkContext
     if str(ROOT) in known or Path.cwd() == ROOT or getattr(context, "_llm_shipped", False):
@@ -58,9 +59,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files under a table that written() made and nothing reads any more."""
-    for path in {os.path.dirname(p) for p in df.inputFiles()}:
+def dropped(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove the files under tables that written() made and nothing reads any more."""
+    for path in {os.path.dirname(p) for df in frames for p in df.inputFiles()}:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -94,12 +95,20 @@ def text_sha(column: str = "text") -> Column:
     return F.unhex(F.sha2(text_of(column).cast("binary"), 256))
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, of whatever types (maps have no hash of their own)."""
+    from pyspark.sql.types import AtomicType
+
+    plain = [F.col(f"`{f.name}`") if isinstance(f.dataType, AtomicType) else F.to_json(F.struct(F.col(f"`{f.name}`").alias("c"))) for f in df.schema if f.dataType.typeName() != "variant"]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
 def restricted(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs whose id and text's SHA-256 kept has (id, sha), one of each such pair, with all columns."""
     own, own_sha, mine, order, nth = (unused(f"llm_{x}", tuple(docs.columns)) for x in ("id", "sha", "mine", "order", "nth"))
     pairs = kept.select(F.col("id").alias(own), F.col("sha").alias(own_sha))
     joined = docs.withColumn(mine, text_sha(text_col)).join(pairs, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(mine) == F.col(own_sha)))
     # rows that repeat both id and text: the first by their content
-    placed = joined.withColumn(order, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    placed = joined.withColumn(order, content_hash(docs))
     first = Window.partitionBy(own, own_sha).orderBy(order)
     return placed.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,12 +8,16 @@ the last register's first arrival: after the registers are filled most shingles
 Two texts agree in a register with a probability equal to their similarity.
 
 1. Texts with the same words are one node, so that exact copies cost no pairs.
-2. Bands of registers make buckets. All of a bucket are compared with one member, the pivot: no pairs within it.
-3. A pair whose signatures agree in too few registers is passed over (at similarity 0.8: under 1 in 10^7, at 0.85: under 1 in 10^15); the others are
-   verified exactly from their texts.
-4. Components of the links are merged. A bucket with members of different components that haven't been compared
-   yet gets new pivots among them (a small bucket as many as it needs, a large one more each round) until none is
-   left: every pair in a bucket is either compared or already in one class, and no link is lost to the pivots.
+2. Bands of registers make buckets. All of a bucket are compared with one member, its pivot: no pairs within it.
+3. A pair whose signatures differ in too many registers is passed over (at similarity 0.8: 5 in 10^9); the others are
+   verified exactly from their texts, and the links merge components.
+4. Buckets with members of different components that weren't compared yet are open. Their texts are brought together
+   (a bucket of more than a task's share in blocks, each pair of blocks a group of its own), and every pair of different
+   components is settled there: the weight that two texts share bounds their similarity, and pairs that the bound
+   doesn't rule out are verified. A pair is looked at in the first bucket that it shares only, and not any more once
+   other links have made its texts one component, so that a group gives at most as many links as it has members.
+
+Every pair of a bucket is then compared or in one class: no link is lost to the pivots, and no pair of texts is ever a row.
 
 Defined cases: null and empty texts are one class; a text of one to four words is one shingle; rows with equal ids
 are nodes of their own; the member with the smallest id stays (a null id only if there is no other); an empty table gives no rows;
@@ -43,8 +47,10 @@ BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
 #: Longs that hold a short signature.
 SHORT = -(-REGISTERS // 16)
-#: Members of a bucket that may all be pivots.
-SMALL = 64
+#: Compressed bytes of texts of an open bucket in a block.
+BLOCK = 2 << 20
+#: Compressed bytes of texts that are verified at a time (a pair of longer ones alone).
+AT_ONCE = 1 << 20
 #: Registers whose short forms (4 bits) two signatures may differ in, to be verified: 6 standard deviations above the mean at 0.8.
 DIFFER = 85
 NIBBLES = 0x1111111111111111
@@ -167,28 +173,150 @@ def differing(x: Column, y: Column) -> Column:
     return total
 
 
+def _sets(bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The shingles and weights of compressed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    texts = [unpack.decompress(b) for b in bodies]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    doc, h, w, _ = shingles(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    at = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [(h[i:j], w[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of AT_ONCE bytes at most, or of one row."""
+    start, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > AT_ONCE:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b, ta, tb: compressed texts) of at least the threshold's similarity: a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-
-        def sets(bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-            texts = [unpack.decompress(b) for b in bodies]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            doc, h, w, _ = shingles(np.frombuffer(b"".join(texts), np.uint8), offsets)
-            at = np.searchsorted(doc, np.arange(len(texts) + 1))
-            return [(h[i:j], w[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-
         for part in batches:
-            for at in range(0, part.num_rows, 64):
-                some = part.slice(at, 64)
-                good = [similarity(*x, *y) >= threshold - MARGIN for x, y in zip(sets(some.column(2).to_pylist()), sets(some.column(3).to_pylist()), strict=True)]
-                yield some.select(["a", "b"]).filter(pa.array(good))
+            a, b, ta, tb = (part.column(k).to_pylist() for k in range(4))
+            good = []
+            for i, j in _portions([len(x) + len(y) for x, y in zip(ta, tb, strict=True)]):
+                texts = dict(zip(a[i:j], ta[i:j], strict=True)) | dict(zip(b[i:j], tb[i:j], strict=True))  # a pivot is many pairs' text
+                sets = dict(zip(texts, _sets(list(texts.values())), strict=True))
+                good += [similarity(*sets[x], *sets[y]) >= threshold - MARGIN for x, y in zip(a[i:j], b[i:j], strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _linked(near: DataFrame, all_rows: DataFrame, threshold: float) -> DataFrame:
+    """The links among pairs a, b. A text is fetched once, then joined with its pairs."""
+    spark = near.sparkSession
+    needed = near.select(F.col("a").alias("row")).union(near.select("b")).distinct()
+    bodies = written(all_rows.select("row", "body").join(needed, "row", "left_semi"), "texts")
+    whole = near.join(bodies.select(F.col("row").alias("a"), F.col("body").alias("ta")), "a").join(bodies.select(F.col("row").alias("b"), F.col("body").alias("tb")), "b")
+    links = written(_verified(whole, threshold), "links")
+    dropped(spark, bodies, near)
+    return links
+
+
+def settled(key: int, sides: np.ndarray, rows: np.ndarray, comps: np.ndarray, bands: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of different components of one bucket, as few as connect what they connect.
+
+    sides: the block of each text; texts of one block alone are compared with each other, else with the other block's.
+    bands: the buckets of each text; a pair is compared if key is the first that both have.
+    """
+    sizes = np.array([len(h) for h, _ in sets])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    token = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)[1]
+    weight = np.concatenate([w / w.sum() for _, w in sets])
+    mark = np.zeros(len(token) + 1)
+    comps, two, found = comps.copy(), sides.min() != sides.max(), []
+    place = np.arange(len(rows))
+    for i in place:
+        other = (comps != comps[i]) & ((sides > sides[i]) if two else (place > i))
+        js = np.flatnonzero(other)
+        if not len(js):
+            continue
+        same = bands[js] == bands[i]
+        js = js[bands[i][same.argmax(axis=1)] == key]
+        if not len(js):
+            continue
+        mine = slice(at[i], at[i + 1])
+        mark[token[mine]] = weight[mine]
+        upto = np.cumsum(sizes[js])
+        where = np.arange(upto[-1]) + np.repeat(at[js] - upto + sizes[js], sizes[js])
+        hit = mark[token[where]]
+        begin = upto - sizes[js]
+        x, y = np.add.reduceat(hit, begin), np.add.reduceat(np.where(hit > 0, weight[where], 0), begin)
+        mark[token[mine]] = 0
+        # sum over j of max(x_j / x_i, y_j / y_i) is at least 1 / x_i + (1 - y) / y_i and 1 / y_i + (1 - x) / x_i, so at least
+        # their mean; harmonic means are concave, so the similarity is at most that of one shared token of weights x and y
+        with np.errstate(divide="ignore"):
+            can = 1 / np.maximum(1 / x + 1 / y - 1, 1e-12) >= threshold - MARGIN
+        for j in js[can & (x > 0)]:
+            if comps[j] != comps[i] and similarity(*sets[i], *sets[j]) >= threshold - MARGIN:
+                found.append((int(rows[i]), int(rows[j])))
+                comps[comps == comps[j]] = comps[i]
+    return found
+
+
+def _settled(rest: DataFrame, all_rows: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of untested pairs between components: rows (key, row, comp) of open buckets."""
+    held = written(rest.join(all_rows.select("row", "bands", "body"), "row"), "open texts")
+    sizes = written(held.groupBy("key").agg(F.ceil(F.sum(F.length("body")) / BLOCK).cast("int").alias("blocks")), "blocks")
+    placed = held.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("row", "key"), F.col("blocks")).cast("int"))
+    # a block meets each block of its bucket once, and a lone one itself
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+    groups = placed.select("key", "row", "comp", "bands", "body", "side", meets).withColumns({"low": F.least("side", "with"), "high": F.greatest("side", "with")})
+    schema = ["key", "low", "high", "side", "row", "comp", "bands", "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(block)
+            rows, comps, sides = (t.column(c).to_numpy() for c in ("row", "comp", "side"))
+            found = []
+            if comps.min() != comps.max():
+                bands = np.array(t.column("bands").to_pylist(), np.int64)
+                found = settled(t.column("key")[0].as_py(), sides, rows, comps, bands, _sets(t.column("body").to_pylist()), threshold)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+        block: list[pa.RecordBatch] = []
+        last = None
+        for part in batches:
+            keys = [part.column(k).to_numpy() for k in range(3)]
+            cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), part.num_rows], strict=True):
+                group = tuple(int(k[i]) for k in keys) if i < j else last
+                if block and group != last:
+                    yield links(block)
+                    block = []
+                last = group
+                if i < j:
+                    block.append(part.slice(i, j - i))
+        if block:
+            yield links(block)
+
+    dealt = groups.select(*schema).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    found = written(dealt.mapInArrow(run, "a bigint, b bigint"), "links")
+    dropped(rest.sparkSession, held, sizes)
+    return found
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with their components (row, comp) after links (a, b) between rows; a row that no link has isn't listed."""
+    own = lambda side: comps.select(F.col("row").alias(side), F.col("comp").alias(f"c{side}"))
+    placed = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    moved = components(placed.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b"))
+    ends = placed.select(F.col("a").alias("row"), F.col("ca").alias("comp")).union(placed.select("b", "cb"))
+    rows = comps.select("row", "comp").union(ends).distinct()
+    found = written(rows.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("row", F.coalesce("to", "comp").alias("comp")), "components")
+    dropped(links.sparkSession, moved)
+    return found
+
+
 def _classed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketched rows, and for each node (d1, d2) class_id, class_size and the row that its class keeps."""
     spark = docs.sparkSession
@@ -196,50 +324,42 @@ def _classed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> t
     all_rows = written(_sketched(docs, id_col, text_col), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     nodes = written(all_rows.groupBy("d1", "d2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).select("d1", "d2", F.col("first.id").alias("id"), F.col("first.row").alias("row"), "n"), "nodes")
-    own = all_rows.select("row", "bands", "sig").join(nodes.select("row"), "row", "left_semi")
-    every = own.select("row", F.explode("bands").alias("key"))
-    wide = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # most keys are one row's alone; signatures go only with the others
-    members = written(every.join(wide, "key").join(own.select("row", "sig"), "row"), "members")
+    every = all_rows.select("row", "bands").join(nodes.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("key"))
+    # most keys are one row's alone. Sums by key are written before they are joined, so that a hot key's join can be split
+    shared = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = written(every.join(shared, "key").select("key", "row", "n"), "members")
     # who meets most others is most likely what they were copied from: the first pivot of its buckets
     weight = members.groupBy("row").agg(F.sum("n").alias("w"))
-    chosen = members.join(weight, "row").groupBy("key").agg(F.max_by("row", F.struct("w", -F.col("row"))).alias("row"))
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tested = spark.createDataFrame([], "key bigint, row bigint")
-    open_, slices = members.withColumn("comp", F.col("row")), 1
-    while True:
-        if slices > 1:
-            # a small bucket is settled in one round; a large one gets more pivots each time
-            slot = F.when(F.col("n") <= SMALL, F.col("row")).otherwise(F.pmod(F.xxhash64("row"), F.lit(slices)))
-            chosen = open_.groupBy("key", slot.alias("slot")).agg(F.min("row").alias("row")).select("key", "row")
-        pivots = written(chosen, "pivots")
-        marked = open_.join(pivots.withColumn("pivot", F.lit(True)), ["key", "row"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
-        marked = written(marked.select("key", "row", "comp", "sig", "pivot"), "marked")
-        x, y = marked.alias("x"), marked.where("pivot").alias("y")
-        # the signatures are compared within the join, so only near pairs of different components become rows
-        far = (F.col("x.row") != F.col("y.row")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("x.pivot") | (F.col("x.row") > F.col("y.row")))
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & far & (differing(F.col("x.sig"), F.col("y.sig")) <= DIFFER))
-        near = written(met.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "pairs")
-        needed = near.select(F.col("a").alias("row")).union(near.select("b")).distinct()
-        bodies = written(all_rows.select("row", "body").join(needed, "row", "left_semi"), "texts")
-        whole = near.join(bodies.select(F.col("row").alias("a"), F.col("body").alias("ta")), "a").join(bodies.select(F.col("row").alias("b"), F.col("body").alias("tb")), "b")
-        links = written(links.union(_verified(whole, threshold)), "links")
-        dropped(spark, bodies)
-        comps = components(links)
-        tested = written(tested.union(pivots), "tested")
-        # pairs of two members that were not pivots are untested; they matter only between components
-        rest = members.join(tested, ["key", "row"], "left_anti").join(comps.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "sig", F.coalesce("comp", "row").alias("comp"))
-        split = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
-        open_ = written(rest.join(split, "key"), "open")
-        if open_.isEmpty():
-            break
-        slices = min(slices * 64, 4096)
-    grouped = nodes.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    best = grouped.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.sum("n").alias("class_size"))
+    tested = written(members.join(weight, "row").groupBy("key").agg(F.max_by("row", F.struct("w", -F.col("row"))).alias("row")), "pivots")
+    met = members.join(tested.select("key", F.col("row").alias("pivot")), "key").where("row <> pivot")
+    pairs = met.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
+    sigs = written(all_rows.select("row", "sig").join(members.select("row").distinct(), "row", "left_semi"), "signatures")
+    signed = pairs.join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sb")), "b")
+    near = written(signed.where(differing(F.col("sa"), F.col("sb")) <= DIFFER).select("a", "b"), "pairs")
+    links = _linked(near, all_rows, threshold)
+    one = _merged(links.select(F.col("a").alias("row"), F.col("a").alias("comp")).where("false"), links)
+    # who was a pivot has been compared with all of its bucket; the other pairs matter only between components
+    rest = members.join(tested, ["key", "row"], "left_anti").join(one, "row", "left").select("key", "row", F.coalesce("comp", "row").alias("comp"))
+    open_ = _open(rest)
+    more = _settled(open_, all_rows, threshold)
+    comps = _merged(one, more)
+    dropped(spark, links, more, one, open_)
+    grouped = nodes.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    best = written(grouped.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.sum("n").alias("class_size")), "best")
     found = written(grouped.join(best, "comp").select("d1", "d2", F.col("best.id").alias("class_id"), F.col("best.row").alias("kept_row"), "class_size"), "classes")
+    dropped(spark, nodes, shared, members, tested, sigs, comps, best)
     return all_rows, found
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (key, row, comp) of buckets that have rows of different components."""
+    rows = written(rows, "rest")
+    split = written(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "split")
+    found = written(rows.join(split, "key", "left_semi"), "open")
+    dropped(rows.sparkSession, rows, split)
+    return found
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, class_id (the smallest id of its class), class_size, kept."""
     all_rows, found = _classed(docs, threshold, id_col, text_col)
