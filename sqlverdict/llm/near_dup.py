@@ -211,15 +211,10 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _linked(near: DataFrame, all_rows: DataFrame, threshold: float) -> DataFrame:
-    """The links among pairs a, b. A text is fetched once, then joined with its pairs."""
-    spark = near.sparkSession
-    needed = near.select(F.col("a").alias("row")).union(near.select("b")).distinct()
-    bodies = written(all_rows.select("row", "body").join(needed, "row", "left_semi"), "texts")
-    whole = near.join(bodies.select(F.col("row").alias("a"), F.col("body").alias("ta")), "a").join(bodies.select(F.col("row").alias("b"), F.col("body").alias("tb")), "b")
-    links = written(_verified(whole, threshold), "links")
-    dropped(spark, bodies, near)
-    return links
+def _linked(near: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The links among pairs a, b of rows that held (row, body) has."""
+    text = lambda side: held.select(F.col("row").alias(side), F.col("body").alias(f"t{side}")).hint("merge")
+    return written(_verified(near.join(text("a"), "a").join(text("b"), "b"), threshold), "links")
 
 
 def settled(key: int, sides: np.ndarray, rows: np.ndarray, comps: np.ndarray, bands: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
@@ -263,11 +258,11 @@ def settled(key: int, sides: np.ndarray, rows: np.ndarray, comps: np.ndarray, ba
     return found
 
 
-def _settled(rest: DataFrame, all_rows: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) of untested pairs between components: rows (key, row, comp) of open buckets."""
-    held = written(rest.join(all_rows.select("row", "bands", "body"), "row"), "open texts")
+def _settled(rest: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of untested pairs between components: rows (key, row, comp) of open buckets, held with their texts."""
+    held = written(held.select("row", "bands", "body").join(rest.hint("merge"), "row"), "open texts")
     sizes = written(held.groupBy("key").agg(F.ceil(F.sum(F.length("body")) / BLOCK).cast("int").alias("blocks")), "blocks")
-    placed = held.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("row", "key"), F.col("blocks")).cast("int"))
+    placed = held.join(sizes.hint("merge"), "key").withColumn("side", F.pmod(F.xxhash64("row", "key"), F.col("blocks")).cast("int"))
     # a block meets each block of its bucket once, and a lone one itself
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
     groups = placed.select("key", "row", "comp", "bands", "body", "side", meets).withColumns({"low": F.least("side", "with"), "high": F.greatest("side", "with")})
@@ -323,31 +318,36 @@ def _classed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> t
     prepare(spark)
     all_rows = written(_sketched(docs, id_col, text_col), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    nodes = written(all_rows.groupBy("d1", "d2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).select("d1", "d2", F.col("first.id").alias("id"), F.col("first.row").alias("row"), "n"), "nodes")
-    every = all_rows.select("row", "bands").join(nodes.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("key"))
-    # most keys are one row's alone. Sums by key are written before they are joined, so that a hot key's join can be split
+    nodes = all_rows.groupBy("d1", "d2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("d1", "d2", F.col("first.id").alias("id"), F.col("first.row").alias("row"), "n", "bands"), "nodes")
+    every = nodes.select("row", F.explode("bands").alias("key"))
+    # most keys are one row's alone. Sums by key are written before they are joined, so that a hot key's join can be split.
+    # Hints keep joins from turning into broadcasts of what grows with the input
     shared = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = written(every.join(shared, "key").select("key", "row", "n"), "members")
+    members = written(every.join(shared.hint("merge"), "key").select("key", "row", "n"), "members")
     # who meets most others is most likely what they were copied from: the first pivot of its buckets
-    weight = members.groupBy("row").agg(F.sum("n").alias("w"))
-    tested = written(members.join(weight, "row").groupBy("key").agg(F.max_by("row", F.struct("w", -F.col("row"))).alias("row")), "pivots")
-    met = members.join(tested.select("key", F.col("row").alias("pivot")), "key").where("row <> pivot")
-    pairs = met.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
-    sigs = written(all_rows.select("row", "sig").join(members.select("row").distinct(), "row", "left_semi"), "signatures")
-    signed = pairs.join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sb")), "b")
+    weight = written(members.groupBy("row").agg(F.sum("n").alias("w")), "weights")
+    # the one time that texts move: those of rows that share a bucket
+    held = written(all_rows.select("row", "bands", "sig", "body").join(weight.select("row").hint("shuffle_hash"), "row", "left_semi"), "texts")
+    tested = written(members.join(weight.hint("merge"), "row").groupBy("key").agg(F.max_by("row", F.struct("w", -F.col("row"))).alias("row")), "pivots")
+    met = members.join(tested.select("key", F.col("row").alias("pivot")).hint("merge"), "key").where("row <> pivot")
+    pairs = written(met.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct(), "met")
+    sig = lambda side: held.select(F.col("row").alias(side), F.col("sig").alias(f"s{side}")).hint("merge")
+    signed = pairs.join(sig("a"), "a").join(sig("b"), "b")
     near = written(signed.where(differing(F.col("sa"), F.col("sb")) <= DIFFER).select("a", "b"), "pairs")
-    links = _linked(near, all_rows, threshold)
+    links = _linked(near, held, threshold)
+    dropped(spark, shared, weight, pairs, near)
     one = _merged(links.select(F.col("a").alias("row"), F.col("a").alias("comp")).where("false"), links)
     # who was a pivot has been compared with all of its bucket; the other pairs matter only between components
-    rest = members.join(tested, ["key", "row"], "left_anti").join(one, "row", "left").select("key", "row", F.coalesce("comp", "row").alias("comp"))
+    rest = members.join(tested.hint("merge"), ["key", "row"], "left_anti").join(one.hint("merge"), "row", "left").select("key", "row", F.coalesce("comp", "row").alias("comp"))
     open_ = _open(rest)
-    more = _settled(open_, all_rows, threshold)
+    more = _settled(open_, held, threshold)
     comps = _merged(one, more)
     dropped(spark, links, more, one, open_)
-    grouped = nodes.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    grouped = nodes.drop("bands").join(comps.hint("merge"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     best = written(grouped.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.sum("n").alias("class_size")), "best")
-    found = written(grouped.join(best, "comp").select("d1", "d2", F.col("best.id").alias("class_id"), F.col("best.row").alias("kept_row"), "class_size"), "classes")
-    dropped(spark, nodes, shared, members, tested, sigs, comps, best)
+    found = written(grouped.join(best.hint("merge"), "comp").select("d1", "d2", F.col("best.id").alias("class_id"), F.col("best.row").alias("kept_row"), "class_size"), "classes")
+    dropped(spark, nodes, members, tested, held, comps, best)
     return all_rows, found
 
 
@@ -355,7 +355,7 @@ def _open(rows: DataFrame) -> DataFrame:
     """The rows (key, row, comp) of buckets that have rows of different components."""
     rows = written(rows, "rest")
     split = written(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "split")
-    found = written(rows.join(split, "key", "left_semi"), "open")
+    found = written(rows.join(split.hint("merge"), "key", "left_semi"), "open")
     dropped(rows.sparkSession, rows, split)
     return found
 
@@ -363,13 +363,13 @@ def _open(rows: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, class_id (the smallest id of its class), class_size, kept."""
     all_rows, found = _classed(docs, threshold, id_col, text_col)
-    return all_rows.select("id", "d1", "d2", "row").join(found, ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", F.col("class_size").cast("long").alias("class_size"), (F.col("row") == F.col("kept_row")).alias("kept"))
+    return all_rows.select("id", "d1", "d2", "row").join(found.hint("merge"), ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", F.col("class_size").cast("long").alias("class_size"), (F.col("row") == F.col("kept_row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with all its columns: the one that classes() keeps, told by its id and text."""
     all_rows, found = _classed(docs, threshold, id_col, text_col)
-    kept = all_rows.select("id", "sha", "row").join(found.select(F.col("kept_row").alias("row")), "row", "left_semi")
+    kept = all_rows.select("id", "sha", "row").join(found.select(F.col("kept_row").alias("row")).hint("merge"), "row", "left_semi")
     return restricted(docs, kept, id_col, text_col)
 
 
