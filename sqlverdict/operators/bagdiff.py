@@ -47,11 +47,18 @@ def summary(counted: DataFrame) -> DataFrame:
     )
 
 
+#: Rows that one element of an array of repetitions stands for.
+CHUNK = 1 << 16
+
+
 def one_sided(counted: DataFrame, names: list[str], side: str) -> DataFrame:
-    """The rows that only one side has (missing or extra), each as often as it is lacking."""
+    """The rows that only one side has (missing or extra), each as often as it is lacking (counts of them need no rows: summary())."""
     balance = F.col("n_expected") - F.col("n_actual") if side == "missing" else F.col("n_actual") - F.col("n_expected")
-    rows = counted.withColumn("n", balance).where("n > 0")
-    return rows.select(*[F.col(f"v{i}").alias(n) for i, n in enumerate(names)], F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_")).drop("_") if names else rows.select()
+    rows = counted.withColumn("n", balance.cast("long")).where("n > 0")
+    # two steps, so that no array holds a repetition for each row
+    parts = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+    some = parts.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col("n") - F.col("at")))))
+    return some.select(*[F.col(f"v{i}").alias(n) for i, n in enumerate(names)])
 
 
 def sample(counted: DataFrame, names: list[str], side: str, limit: int = SAMPLE) -> DataFrame:

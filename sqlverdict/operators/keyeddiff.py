@@ -21,9 +21,11 @@ def keyed_join(expected: DataFrame, actual: DataFrame, keys: list[str], names: l
 
 
 def same(e: Column, a: Column, numeric: bool, null_equality: str, tolerance: float) -> Column:
-    """Whether two values match; never NULL."""
-    near = F.abs(e.cast(EXACT) - a.cast(EXACT)) <= F.lit(repr(tolerance)).cast(EXACT) if numeric else e == a
-    match = F.coalesce(near, F.lit(False))
+    """Whether two values match; never NULL. NaN matches NaN and an infinity itself, as in a comparison of bags."""
+    match = F.coalesce(e == a, F.lit(False))
+    if numeric:
+        # what no fixed point holds (NaN, infinities, huge numbers) can only be equal
+        match = match | F.coalesce(F.abs(e.try_cast(EXACT) - a.try_cast(EXACT)) <= F.lit(repr(tolerance)).cast(EXACT), F.lit(False))
     return match | (e.isNull() & a.isNull()) if null_equality == "equal" else match
 
 

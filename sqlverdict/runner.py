@@ -42,7 +42,8 @@ class Engine:
         if output.output is None:
             return CaseReport(case=case, output=output)
         session = self.sources.resolve(case.source)
-        runner = QueryRunner(session, output.output, case.cost_budget.max_seconds if case.cost_budget else None, untyped=case.source.kind == "sqlite")
+        database = case.source.config.get("path") if case.source.kind == "sqlite" else None
+        runner = QueryRunner(session, output.output, case.cost_budget.max_seconds if case.cost_budget else None, untyped=case.source.kind == "sqlite", database=database)
         result = runner.run(output.output)
         shared = result.frame is not None and len(scorers) > 1
         if shared:

@@ -35,7 +35,7 @@ from sqlverdict.model import (
 from sqlverdict.operators import accuracy, bagdiff, checks, keyeddiff
 from sqlverdict.operators.align import expected_frame, round_scale
 from sqlverdict.operators.columns import col, numeric_columns, reconcile, type_mismatches
-from sqlverdict.plans.proof import PlanEquivalence, ordered
+from sqlverdict.plans.proof import PlanEquivalence, ordered, ordered_text
 from sqlverdict.sources.session import QueryRunner
 
 
@@ -218,13 +218,11 @@ class ExecutionAccuracy:
         gold = context.queries.run(case.expected.sql)
         if gold.error is not None:
             return _failed(self.name, f"gold query failed: {gold.error.message}", metadata={"gold_query_failed": True})
-        in_order = self.row_order == "when_ordered" and ordered(context.spark, case.expected.sql)
+        sorted_ = ordered_text(case.expected.sql) if context.queries.database is not None else ordered(context.spark, case.expected.sql)
+        in_order = self.row_order == "when_ordered" and sorted_
         have, want = result.frame, gold.frame
         compare = accuracy.by_value if self.column_alignment == "by_value" else accuracy.equal
-        try:
-            good = context.queries.attempt(lambda: compare(have, want, self.multiplicity, in_order))
-        except accuracy.SearchExhausted as e:
-            return ScoreResult(scorer=self.name, verdict="inconclusive", explanation=str(e))
+        good = context.queries.attempt(lambda: compare(have, want, self.multiplicity, in_order))
         if isinstance(good, ExecutionError):
             if _broken_side(context, case.expected.sql, good):
                 return _failed(self.name, f"gold query failed: {good.message}", metadata={"gold_query_failed": True})

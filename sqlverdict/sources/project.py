@@ -177,6 +177,6 @@ def source_from_profile(project_dir: str | Path, profiles_dir: str | Path | None
         return SourceRef(name=name, kind="sqlite", config={"path": str(path if path.is_absolute() else folder / path)})
     if kind == "postgres":
         return SourceRef(name=name, kind="jdbc", config={"url": f"jdbc:postgresql://{output.get('host', 'localhost')}:{output.get('port', 5432)}/{output.get('dbname', '')}", "user": output.get("user"), "tables": []})
-    if kind in ("spark", "databricks", "duckdb"):
+    if kind in ("spark", "databricks"):
         return SourceRef(name=name, kind="catalog", config={"database": output["schema"]} if output.get("schema") else {})
     return ProjectError(kind="unsupported_adapter", message=f"no source for adapter {kind!r}")

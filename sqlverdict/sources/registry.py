@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import sqlite3
-import uuid
 from collections.abc import Callable
+from contextlib import closing
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from sqlverdict.model import SourceRef
+from sqlverdict.sources import sqlite
 from sqlverdict.sources.session import shared_dir
 
 
@@ -19,45 +18,23 @@ def _files(spark: SparkSession, ref: SourceRef) -> dict[str, DataFrame]:
     reader = spark.read.format(ref.kind).options(**({"header": "true", "inferSchema": "true"} | options if ref.kind == "csv" else options))
     tables = ref.config.get("tables")
     if tables is None:
-        folder = Path(ref.config["path"])
-        tables = {p.name.split(".")[0]: str(p) for p in sorted(folder.iterdir()) if p.suffix == f".{ref.kind}" or p.is_dir()}
+        # by Spark's own file systems: a folder can be in any store that it reads
+        folder = spark._jvm.org.apache.hadoop.fs.Path(ref.config["path"])
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        names = sorted((f.getPath().getName(), f.getPath().toString(), f.isDirectory()) for f in found)
+        tables = {n.split(".")[0]: path for n, path, is_dir in names if n.endswith(f".{ref.kind}") or is_dir}
     return {name: reader.load(path) for name, path in tables.items()}
 
 
-#: Rows of a SQLite table that are read at a time.
-SQLITE_ROWS = 10_000
-
-
 def _sqlite(spark: SparkSession, ref: SourceRef) -> dict[str, DataFrame]:
-    """SQLite tables; the columns have no types of their own, so they are read as text unless all values agree."""
+    """SQLite tables as views, for plans and checks; queries of such a source run in SQLite (see QueryRunner)."""
     path = ref.config["path"]
     if path != ":memory:" and not Path(path).is_file():
         raise FileNotFoundError(path)
-    out = {}
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) if path != ":memory:" else sqlite3.connect(path) as db:
-        db.text_factory = lambda b: b.decode("utf-8", "replace")
-        quote = lambda n: '"' + n.replace('"', '""') + '"'
-        for (name,) in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' ORDER BY name").fetchall():
-            cursor = db.execute(f"SELECT * FROM {quote(name)}")
-            names = [d[0] for d in cursor.description]
-            kinds = [{k for (k,) in db.execute(f"SELECT DISTINCT typeof({quote(c)}) FROM {quote(name)}")} - {"null"} for c in names]
-            spark_kind = lambda k: "bigint" if k == {"integer"} else "double" if k and k <= {"integer", "real"} else "binary" if k == {"blob"} else "string"
-            ddl = [spark_kind(k) for k in kinds]
-            cast = {"bigint": int, "double": float, "binary": bytes, "string": lambda v: v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)}
-            schema = StructType.fromDDL(", ".join(f"c{i} {k}" for i, k in enumerate(ddl)))
-            folder = f"{shared_dir(spark)}/sqlite-{uuid.uuid4().hex}"
-            frame = None
-            # tables larger than a batch go to Parquet batch by batch, not through the driver's memory at once
-            while rows := cursor.fetchmany(SQLITE_ROWS):
-                part = spark.createDataFrame([tuple(None if v is None else cast[k](v) for v, k in zip(r, ddl, strict=True)) for r in rows], schema)
-                if frame is None and len(rows) < SQLITE_ROWS:
-                    frame = part
-                    break
-                part.write.mode("append").parquet(folder)
-                frame = False
-            frame = spark.read.schema(schema).parquet(folder) if frame is False else frame if frame is not None else spark.createDataFrame([], schema)
-            out[name] = frame.toDF(*names)
-    return out
+    quote = lambda n: '"' + n.replace('"', '""') + '"'
+    with closing(sqlite.connect(path)) as db:
+        names = [n for (n,) in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' ORDER BY name")]
+        return {n: sqlite.frame_of(spark, db, f"SELECT * FROM {quote(n)}", shared_dir(spark)) for n in names}
 
 
 def _jdbc(spark: SparkSession, ref: SourceRef) -> dict[str, DataFrame]:

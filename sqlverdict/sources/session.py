@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sqlite3
 import tempfile
 import threading
 import time
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sqlverdict.model import ExecutionError, ExecutionResult
 from sqlverdict.operators.columns import duplicates
+from sqlverdict.sources import sqlite
 
 T = TypeVar("T")
 
@@ -24,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
 
 
-FAILURES = (PySparkException, Py4JJavaError)
+FAILURES = (PySparkException, Py4JJavaError, sqlite3.Error)
 
 
 def _told(exc: BaseException, name: str) -> Any:
@@ -79,10 +81,10 @@ def within(spark: SparkSession, work: Callable[[], T], seconds: float | None) ->
 
 
 class QueryRunner:
-    """Runs the queries of one case against one pool of seconds."""
+    """Runs the queries of one case against one pool of seconds; with a database, in that SQLite file and its dialect."""
 
-    def __init__(self, spark: SparkSession, model_sql: str, max_seconds: float | None = None, untyped: bool = False) -> None:
-        self.spark, self.model_sql, self.left, self.untyped = spark, model_sql, max_seconds, untyped
+    def __init__(self, spark: SparkSession, model_sql: str, max_seconds: float | None = None, untyped: bool = False, database: str | None = None) -> None:
+        self.spark, self.model_sql, self.left, self.untyped, self.database = spark, model_sql, max_seconds, untyped, database
 
     def attempt(self, work: Callable[[], T], kind: str = "query_failed") -> T | ExecutionError:
         """work within what is left of the budget; failures are returned."""
@@ -91,7 +93,7 @@ class QueryRunner:
         began = time.monotonic()
         try:
             return within(self.spark, work, self.left)
-        except BudgetExceeded as e:
+        except (BudgetExceeded, sqlite.Interrupted) as e:
             return ExecutionError(kind="budget_exceeded", message=str(e), cause=e)
         except FAILURES as e:
             return execution_error(e, kind)
@@ -104,6 +106,8 @@ class QueryRunner:
         began = time.monotonic()
 
         def work() -> DataFrame:
+            if self.database is not None:
+                return sqlite.result(self.spark, self.database, sql, shared_dir(self.spark), self.left)
             frame = self.spark.sql(sql)
             if materialize:
                 frame.write.format("noop").mode("overwrite").save()

@@ -3,7 +3,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from sqlverdict.judging import CallableSolver
 from sqlverdict.model import ColumnPresence, ColumnType, ComparisonConfig, CostBudget, EvalCase, ExpectationSuite, GoldQuery, NotNull, RowCount, SourceRef, TypedResultSet, Unique, UntypedResultSet
-from sqlverdict.operators import accuracy, bagdiff
+from pyspark.sql import functions as F
+from sqlverdict.operators import accuracy, bagdiff, keyeddiff
 from sqlverdict.runner import Engine
 from sqlverdict.scorers import ExecutionAccuracy, ExpectationSuiteScorer, FirstDecisive, ResultSetEquivalence, SemanticEquivalence, observed_equivalence
 
@@ -183,6 +184,55 @@ def test_bag_diff_is_a_difference_of_counters(spark, e, a):
     assert Counter(map(tuple, bagdiff.one_sided(counted, ["x", "y"], "missing").collect())) == missing
 
 
+def test_by_value_compares_exactly(spark):
+    same = lambda a, b, **o: accuracy.by_value(spark.sql(f"SELECT {a}"), spark.sql(f"SELECT {b}"), **o)
+    assert not same("9007199254740992L AS a", "9007199254740993L AS a")
+    assert not same("DATE '2024-01-01' AS a", "'2024-01-01' AS a")
+    assert not same("1 AS a", "'1' AS a")
+    assert not same("CAST(1.5 AS DECIMAL(38,18)) AS a", "CAST('1.500000000000000001' AS DECIMAL(38,18)) AS a")
+    assert same("CAST(1.50 AS DECIMAL(10,2)) AS a, 7 AS b, true AS c", "CAST(7 AS DECIMAL(12,3)) AS x, 1 AS y, CAST(1.5 AS DECIMAL(5,1)) AS z")
+    assert same("CAST(-1200 AS DECIMAL(10,2)) AS a", "-1200 AS a")
+    assert same("CAST('NaN' AS DOUBLE) AS a, 2.0D AS b", "2 AS a, CAST('NaN' AS FLOAT) AS b")
+    assert same("0.0D AS a", "-0.0D AS a")
+
+
+def test_by_value_with_columns_alike(spark):
+    wide = spark.range(12).selectExpr("id AS k", *[f"id % 4 AS a{i}" for i in range(8)])
+    turned = spark.range(12).selectExpr(*[f"id % 4 AS a{i}" for i in range(7)], "3 - id % 4 AS a7", "id AS k")
+    assert accuracy.by_value(wide, wide.select(*reversed(wide.columns)))
+    assert accuracy.by_value(wide, wide.select(*reversed(wide.columns)), "set")
+    assert not accuracy.by_value(wide, turned)
+    # pairs of columns agree here, triples don't
+    cube = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 1), (1, 1, 0)], "a int, b int, c int")
+    other = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 1, 1)], "a int, b int, c int")
+    assert not accuracy.by_value(cube, other)
+    assert accuracy.by_value(cube, cube.select("c", "a", "b"))
+
+
+def test_long_orders(spark):
+    up = spark.range(5000, numPartitions=7).selectExpr("id", "id % 3 AS r").repartition(5).orderBy("id")
+    assert accuracy.same_sequence(up, spark.range(5000, numPartitions=3).selectExpr("id", "id % 3 AS r"))
+    assert not accuracy.same_sequence(up, up.orderBy("r", "id"))
+    assert not accuracy.same_sequence(up, up.where("id < 4999"))
+
+
+def test_values_that_fixed_points_lack(spark):
+    rows = "SELECT * FROM VALUES (1, CAST('NaN' AS DOUBLE)), (2, CAST('Infinity' AS DOUBLE)), (3, 1e300), (4, 2.0D), (5, CAST(NULL AS DOUBLE)) t(k, v)"
+    e = spark.sql(rows)
+    stats = lambda a, nulls="equal": keyeddiff.keyed_stats(keyeddiff.keyed_join(e, a, ["k"], ["k", "v"]), ["k"], ["k", "v"], {"k", "v"}, nulls, 1e-9).first().m0
+    assert stats(e) == 0
+    assert stats(e, "distinct") == 1
+    assert stats(e.withColumn("v", -F.col("v"))) == 3
+
+
+def test_rows_that_lack_often(spark):
+    n = 3 * bagdiff.CHUNK + 5
+    counted = bagdiff.balances(spark.range(n).selectExpr("1 AS x"), spark.range(2).selectExpr("1 AS x"), ["x"])
+    assert bagdiff.summary(counted).first().missing == n - 2
+    assert bagdiff.one_sided(counted, ["x"], "missing").count() == n - 2
+    assert bagdiff.one_sided(counted, ["x"], "extra").count() == 0
+
+
 def test_first_decisive(score, spark):
     spark.range(3).createOrReplaceTempView("three")
     gold = GoldQuery(sql="SELECT id FROM three WHERE id > 1")

@@ -4,7 +4,10 @@ import time
 import zipfile
 
 import pytest
-from sqlverdict.model import ExecutionError, SourceRef
+from sqlverdict.judging import CallableSolver
+from sqlverdict.model import EvalCase, ExecutionError, GoldQuery, SourceRef
+from sqlverdict.runner import Engine
+from sqlverdict.scorers import ExecutionAccuracy
 from sqlverdict.sources import benchmarks
 from sqlverdict.sources.benchmarks import Archive, FetchError, import_archive, load_bird, load_spider
 from sqlverdict.sources.registry import Registry, schema_ddl
@@ -80,7 +83,7 @@ def test_sqlite(spark, database, monkeypatch):
     ref = SourceRef(name="shop", kind="sqlite", config={"path": str(database)})
     rows = Registry(spark).resolve(ref).table("items").orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, "apple", 3.0, "1"), (2, "pear", 2.5, "x"), (3, None, None, None)]
-    monkeypatch.setattr("sqlverdict.sources.registry.SQLITE_ROWS", 1)
+    monkeypatch.setattr("sqlverdict.sources.sqlite.BATCH", 1)
     session = Registry(spark).resolve(ref)
     assert session.table("items").count() == 3
     assert session.table("none").columns == ["a"]
@@ -88,6 +91,26 @@ def test_sqlite(spark, database, monkeypatch):
         Registry(spark).resolve(SourceRef(name="no", kind="sqlite", config={"path": "/no/such/file"}))
 
 
+def test_sqlite_dialect(spark, database):
+    """Gold queries that only SQLite understands are judged by what SQLite returns."""
+    ref = SourceRef(name="dialect", kind="sqlite", config={"path": str(database)})
+    engine = Engine(spark)
+
+    def judged(gold, answer, **options):
+        case = EvalCase(id="c", input="q", expected=GoldQuery(sql=gold), source=ref, cost_budget={"max_seconds": options.pop("seconds", 60)})
+        return engine.evaluate(case, CallableSolver(lambda c: answer), [ExecutionAccuracy(**options)])
+
+    # a name in double quotes that is no column is a string; ifnull, glob, || of numbers, loose comparison
+    gold = "SELECT name, price || '' FROM items WHERE name GLOB \"*p*\" AND price > '1' OR name IS NULL ORDER BY ifnull(name, 'zz')"
+    assert judged(gold, "SELECT name, CAST(price AS TEXT) FROM items WHERE name LIKE '%p%' OR name IS NULL ORDER BY name IS NULL, name").passed
+    assert not judged(gold, "SELECT name, CAST(price AS TEXT) FROM items WHERE name LIKE '%p%' OR name IS NULL ORDER BY name").passed
+    assert judged(gold, "SELECT price || '', name FROM items WHERE id < 4", row_order="ignore", column_alignment="by_value").passed
+    assert "no such function" in judged("SELECT nofunction(1)", "SELECT 1").scores[0].explanation
+    assert judged(gold, "SELEC 1").result.error.kind == "query_failed"
+    endless = "WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n) SELECT count(*) FROM n"
+    assert judged("SELECT 1", endless, seconds=0.5).result.error.kind == "budget_exceeded"
+
+
 def test_benchmarks(database, tmp_path):
     root = tmp_path
     (root / "dev.json").write_text(json.dumps([{"db_id": "shop", "question": "How many?", "query": "SELECT count(*) FROM items"}]))
