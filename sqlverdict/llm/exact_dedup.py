@@ -6,7 +6,7 @@ group of copies of any size is a few rows), a sort-merge anti-join against the b
 index lacks, and they are appended. The index side is read in bucket order without a shuffle.
 
 Defined cases: a null text is the empty text; empty texts are equal to each other; of rows with the same id and
-text one stays; a null id stays only in a group without any other id; an empty table adds nothing; other columns
+text one stays (the first by a hash of all its columns); ids are of any type that sorts; a null id stays only in a group without any other id; an empty table adds nothing; other columns
 are never looked at, whatever they are called.
 """
 
@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sqlverdict.llm._spark import BLANKS, load, text_of, unused, written
+from sqlverdict.llm._spark import BLANKS, content_hash, load, new_path, text_of, unused, written
 
 
 def digest(text: Column) -> Column:
@@ -28,15 +28,26 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """A persistent table of the digests seen so far, bucketed and sorted by digest."""
 
-    SCHEMA = "digest string, keep_id bigint, keep_row bigint, group_size bigint"
-
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 64) -> None:
-        self.spark, self.table, self.buckets = spark, table, buckets
-        if not spark.catalog.tableExists(table):
-            self._write(spark.createDataFrame([], self.SCHEMA), "errorifexists")
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, id_type: str = "bigint", path: str | None = None) -> None:
+        """An existing table keeps its buckets, ids and place; a new one has a bucket for each shuffle partition, 64 at least.
+
+        A bucket is one task's share of the anti-join: choose buckets so that the digests that the table will have come
+        to some 10 million each. path: a shared folder for the table, else it lies in the session's warehouse.
+        """
+        self.spark, self.table, self.path = spark, table, path
+        if spark.catalog.tableExists(table):
+            told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+            self.buckets, self.path = int(told["Num Buckets"]), None if path is None else told.get("Location", path)
+            self.schema = spark.table(table).schema
+        else:
+            self.buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            empty = spark.createDataFrame([], f"digest string, keep_id {id_type}, keep_row bigint, group_size bigint")
+            self.schema = empty.schema
+            self._write(empty, "errorifexists")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
-        rows.write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        writer = rows.write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
 
     def read(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.table)
@@ -52,28 +63,41 @@ class DigestIndex:
         new = written(self.missing(groups).select("digest", "keep_id", "keep_row", "group_size"), "new-digests")
         self._write(new.repartition(self.buckets, "digest"), "append")
 
+    def drop(self) -> None:
+        """Remove the table and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table} PURGE")
+        if self.path:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def files(self) -> DataFrame:
         """The index without its bucketing, for joins whose hot keys are to be split at run time."""
         self.spark.catalog.refreshTable(self.table)
         places = self.spark.table(self.table).inputFiles()
         if not places:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*sorted({p.rsplit("/", 1)[0] for p in places}))
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*sorted({p.rsplit("/", 1)[0] for p in places}))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, keep_id, group_size, kept, text_sha256, after its texts were added to the index.
 
     A document stays if no document of an earlier call had its text and it has the smallest id of this call's
-    documents with that text.
+    documents with that text. Without an index there are no earlier calls: one is made in the shared folder and removed.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
+    if index is None:
+        kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+        own = DigestIndex(spark, f"digests_{uuid.uuid4().hex}", id_type=kind, path=new_path(spark, "index"))
+        try:
+            return written(deduplicate(docs, own, id_col, text_col), "deduplicated")
+        finally:
+            own.drop()
     rows = docs.select(F.col(id_col).alias("id"), digest(text_of(text_col)).alias("digest"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     groups = rows.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    groups = written(groups.select("digest", F.col("first.id").cast("long").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "groups")
+    groups = written(groups.select("digest", F.col("first.id").cast(index.schema["keep_id"].dataType).alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "groups")
     fresh = written(index.missing(groups).select("digest", F.lit(True).alias("fresh")), "fresh")
     index.add(groups)
     state = index.files().select("digest", F.col("keep_id"), "keep_row").join(groups.select("digest", "group_size"), "digest").join(fresh, "digest", "left")
@@ -88,12 +112,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that deduplicate() keeps, with all their columns."""
-    own_id, own_digest, nth, mine = (unused(f"llm_{x}", tuple(docs.columns)) for x in ("id", "digest", "nth", "mine"))
+    own_id, own_digest, nth, mine, by = (unused(f"llm_{x}", tuple(docs.columns)) for x in ("id", "digest", "nth", "mine", "by"))
     kept = deduplicate(docs, None, id_col, text_col).where("kept").select(F.col(id_col).alias(own_id), F.col("text_sha256").alias(own_digest))
     joined = docs.withColumn(mine, digest(text_of(text_col))).join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(mine) == F.col(own_digest)))
-    # rows that repeat both id and text: one of them
-    order = Window.partitionBy(own_id, own_digest).orderBy(mine)
-    return joined.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows that repeat both id and text: the first by their content
+    order = Window.partitionBy(own_id, own_digest).orderBy(by)
+    return joined.withColumn(by, content_hash(docs)).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

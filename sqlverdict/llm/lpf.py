@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlverdict.llm import _bytes as B
-from sqlverdict.llm._spark import load, prepare, written
+from sqlverdict.llm._spark import dropped, load, prepare, written
 
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
@@ -314,19 +314,21 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, id_col: str = "doc_
     spark = docs.sparkSession
     prepare(spark)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = _anchored(own)
-    twice = _anchored(own).select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    shared = written(found.join(twice, "h"), "anchors")
+    found = written(_anchored(own), "all-anchors")
+    # counts are written before they are joined, so that the join of a hot anchor can be split
+    twice = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
+    shared = written(found.join(twice.hint("merge"), "h"), "anchors")
+    dropped(spark, found, twice)
     cls = written(shared.groupBy("h", "full").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "pos", "before", "after")).alias("first")), "contexts")
     copies = shared.join(cls.where("m > 1"), ["h", "full"])
     if keep_first:
         copies = copies.where("key <> first.key OR pos <> first.pos")
     spans = written(copies.select("key", (F.col("pos") - F.col("before")).cast("int").alias("start"), (F.col("pos") + F.col("after")).cast("int").alias("end")), "spans")
-    several = cls.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = cls.join(several, "h").select("h", "m", "first.*").groupBy("key").agg(F.collect_list(F.struct("h", "m", "pos", "before", "after")).alias("at"))
+    dropped(spark, shared)
+    groups = written(cls.groupBy(F.col("h").alias("grp")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    firsts = cls.join(groups.select(F.col("grp").alias("h")).hint("merge"), "h").select("h", "m", "first.*").groupBy("key").agg(F.collect_list(F.struct("h", "m", "pos", "before", "after")).alias("at"))
     contexts = _contexts(firsts.join(_bodies(own), "key"))
     contexts = written(contexts.dropDuplicates(["grp", "key", "pos"]).withColumn("low", F.lit(0)).withColumn("high", F.lit(SPAN - 1)), "bytes")
-    groups = written(several.select(F.col("h").alias("grp"), "n"), "groups")
     small = contexts.join(groups.where(F.col("n") <= GROUP), "grp").drop("n")
     large = contexts.join(groups.where(F.col("n") > GROUP), "grp").drop("n")
     while not (large := written(large, "large")).isEmpty():

@@ -17,7 +17,7 @@ half moved by a keyed function of the other, which permutes Z_a x Z_b for any a
 
 Text kinds (a Feistel network on strings: letters move among letters, digits among digits):
 
-* email: the local part
+* email: the local part, without regard to case (it keeps its own)
 * secret: access keys, and what follows password= or token =, in whatever case
 
 Defined cases: a null or empty text stays empty; what looks like a value but is not valid stays as it is;
@@ -33,7 +33,10 @@ from pyspark.sql import functions as F
 
 from sqlverdict.llm._spark import load, text_of, unused
 
-KEY = "corpus-pseudonyms-1"
+#: The setting that has the key of a session's pseudonyms. Who has the key can undo them, so it belongs in no source.
+KEY_SETTING = "spark.corpus.pii.key"
+#: For tests and for the registered query over made-up data, where no key is set.
+TEST_KEY = "corpus-pseudonyms-1"
 ROUNDS = 8
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}",
@@ -52,9 +55,18 @@ LAYOUTS = r"^(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}(?: \d{3})?|\d{4} \d{6} \d{4,5}
 ANY = "|".join(FORMS.values())
 
 
+class Back(str):
+    """A key that undoes what the same text does as a key."""
+
+
+def key_of(spark: SparkSession) -> str:
+    """The session's key, or the one for tests."""
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def _prf(key: str, *parts: Column | str) -> Column:
     """60 keyed bits as a long."""
-    text = F.concat_ws("|", F.lit(key), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    text = F.concat_ws("|", F.lit(str(key)), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.conv(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 15), 16, 10).cast("long")
 
 
@@ -64,6 +76,13 @@ def feistel(value: Column, a: Column | int, b: Column | int, key: str, tweak: st
     value = value.cast("long")
     start = F.struct(((value - F.pmod(value, b)) / b).cast("long").alias("l"), F.pmod(value, b).alias("r"), a.alias("a"), b.alias("b"))
 
+    def back(s: Column, i: Column) -> Column:
+        right = F.pmod(s["r"] - F.pmod(_prf(key, tweak, i.cast("string"), "r", s["l"].cast("string")), s["b"]), s["b"])
+        return F.transform(
+            F.array(right),
+            lambda n: F.struct(F.pmod(s["l"] - F.pmod(_prf(key, tweak, i.cast("string"), "l", n.cast("string")), s["a"]), s["a"]).alias("l"), n.alias("r"), s["a"].alias("a"), s["b"].alias("b")),
+        )[0]
+
     def turn(s: Column, i: Column) -> Column:
         left = F.pmod(s["l"] + F.pmod(_prf(key, tweak, i.cast("string"), "l", s["r"].cast("string")), s["a"]), s["a"])
         # the right half moves by the new left half
@@ -72,16 +91,17 @@ def feistel(value: Column, a: Column | int, b: Column | int, key: str, tweak: st
             lambda n: F.struct(n.alias("l"), F.pmod(s["r"] + F.pmod(_prf(key, tweak, i.cast("string"), "r", n.cast("string")), s["b"]), s["b"]).alias("r"), s["a"].alias("a"), s["b"].alias("b")),
         )[0]
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn, lambda s: s["l"] * s["b"] + s["r"])
+    rounds = F.sequence(F.lit(ROUNDS // 2), F.lit(1)) if isinstance(key, Back) else F.sequence(F.lit(1), F.lit(ROUNDS // 2))
+    return F.aggregate(rounds, start, back if isinstance(key, Back) else turn, lambda s: s["l"] * s["b"] + s["r"])
 
 
-def _shifted(text: Column, digest: Column) -> Column:
-    """Each letter and digit moved within its own kind by the bytes of a hexadecimal digest."""
+def _shifted(text: Column, digest: Column, sign: int) -> Column:
+    """Each letter and digit moved within its own kind by the bytes of a hexadecimal digest, or back."""
 
     def moved(c: Column, i: Column) -> Column:
         code = F.ascii(c)
         by = F.conv(F.substr(digest, F.pmod(i, F.lit(32)) * 2 + F.lit(1), F.lit(2)), 16, 10).cast("int")
-        to = lambda low, n: F.char(F.pmod(code - F.lit(low) + by, F.lit(n)) + F.lit(low))
+        to = lambda low, n: F.char(F.pmod(code - F.lit(low) + sign * by, F.lit(n)) + F.lit(low))
         return F.when(code.between(48, 57), to(48, 10)).when(code.between(65, 90), to(65, 26)).when(code.between(97, 122), to(97, 26)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), moved), "")
@@ -93,15 +113,19 @@ def feistel_text(text: Column, key: str, tweak: str) -> Column:
     start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1).alias("r"))
 
     def hashed(i: Column, side: str, other: Column) -> Column:
-        return F.sha2(F.encode(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), F.lit(side), other), "UTF-8"), 256)
+        return F.sha2(F.encode(F.concat_ws("|", F.lit(str(key)), F.lit(tweak), i.cast("string"), F.lit(side), other), "UTF-8"), 256)
+
+    def moved(part: Column, digest: Column, sign: int) -> Column:
+        return F.when(part == "", "").otherwise(_shifted(part, digest, sign))
 
     def turn(s: Column, i: Column) -> Column:
-        return F.transform(
-            F.array(F.when(s["l"] == "", "").otherwise(_shifted(s["l"], hashed(i, "l", s["r"])))),
-            lambda n: F.struct(n.alias("l"), F.when(s["r"] == "", "").otherwise(_shifted(s["r"], hashed(i, "r", n))).alias("r")),
-        )[0]
+        return _let(moved(s["l"], hashed(i, "l", s["r"]), 1), lambda n: F.struct(n.alias("l"), moved(s["r"], hashed(i, "r", n), 1).alias("r")))
+
+    def back(s: Column, i: Column) -> Column:
+        return _let(moved(s["r"], hashed(i, "r", s["l"]), -1), lambda n: F.struct(moved(s["l"], hashed(i, "l", n), -1).alias("l"), n.alias("r")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn, lambda s: F.concat(s["l"], s["r"]))
+    rounds = F.sequence(F.lit(ROUNDS // 2), F.lit(1)) if isinstance(key, Back) else F.sequence(F.lit(1), F.lit(ROUNDS // 2))
+    return F.aggregate(rounds, start, back if isinstance(key, Back) else turn, lambda s: F.concat(s["l"], s["r"]))
 
 
 def _digits(text: Column) -> Column:
@@ -222,7 +246,9 @@ def _date(m: Column, key: str) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     parts = F.split(m, "@")
-    return F.concat(feistel_text(parts[0], key, "email"), F.lit("@"), parts[1])
+    # permuted without regard to case, and cased as it was: an address has one pseudonym however it is written
+    cased = lambda new: F.array_join(F.zip_with(F.split(new, ""), F.split(parts[0], ""), lambda n, old: F.when(old.rlike("[A-Z]"), F.upper(n)).otherwise(n)), "")
+    return F.concat(_let(feistel_text(F.lower(parts[0]), key, "email"), cased), F.lit("@"), parts[1])
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -243,12 +269,21 @@ def _replaced(m: Column, key: str) -> Column:
     return _let(kind_of(m), lambda k: F.when(k == "card", _cards(m, key)).otherwise(one(reduce(lambda rest, kind: F.when(k == kind, by[kind](m, key)).otherwise(rest), by, _secret(m, key)))))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match."""
     return _replaced(m, key)["text"]
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str | None = None) -> DataFrame:
+def restore(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """docs as they were before pseudonymize() with the same key.
+
+    Every kind goes back exactly. Only where several numbers stand in one run of digit groups may a pseudonym form a
+    valid card number with a neighbour that its original didn't.
+    """
+    return pseudonymize(docs, Back(key), text_col)
+
+
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """docs with personal data in the text replaced; found_col gets the number of values found."""
     text = text_of(text_col)
     # every form has a digit, an @ or one of the words before a secret: most texts are passed by with one cheap scan
@@ -269,4 +304,4 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", found_
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymize(docs, found_col="n_found")
+    return pseudonymize(docs, key_of(spark), found_col="n_found")

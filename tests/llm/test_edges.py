@@ -16,7 +16,7 @@ OPERATORS = {
     "op2": lambda d, labels: toxicity.score(d, toxicity.fit(d, labels), "tox"),
     "op3": lambda d, _: near_dup.classes(d),
     "op4": lambda d, _: exact_dedup.deduplicate(d),
-    "op5": lambda d, _: pii.pseudonymize(d),
+    "op5": lambda d, _: pii.pseudonymize(d, pii.TEST_KEY),
     "op6": lambda d, _: lpf.remove_repeats(d),
     "op7": lambda d, _: hmm.language_scores(d),
     "op8": lambda d, _: bpe.encode_decode(d, PATH),
