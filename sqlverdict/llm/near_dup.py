@@ -17,7 +17,7 @@ Two texts agree in a register with a probability equal to their similarity.
    doesn't rule out are verified. A pair is looked at in the first bucket that it shares only, and not any more once
    other links have made its texts one component, so that a group gives at most as many links as it has members.
 
-Every pair of a bucket is then compared or in one class: no link is lost to the pivots, and no pair of texts is ever a row.
+Every pair of a bucket is then compared or in one class: no link is lost to the pivots, and only pairs with a pivot are rows.
 
 Defined cases: null and empty texts are one class; a text of one to four words is one shingle; rows with equal ids
 are nodes of their own; the member with the smallest id stays (a null id only if there is no other); an empty table gives no rows;
