@@ -12,7 +12,10 @@ unknown word of its class, a part of that event, so its probability is never ove
 Counts of all words of the training texts are summed by hash; the frequent ones are sent to all executors (a number
 bounded by KNOWN), the others meet their occurrences in a join. Baum-Welch runs over all training texts in each
 iteration: every partition adds up expected counts of its texts, cut into pieces of PIECE tokens, and only these
-sums, whose size is fixed, are merged. Scoring is the exact scaled forward recursion over whole texts.
+sums, whose size is fixed, are merged. Each token and each transition, those across cuts too, is counted in one piece,
+which reads LEAD tokens more on both sides, so that the messages over a cut are those of the text but for what the
+states tell over LEAD tokens; starts are counted at the starts of texts alone. Scoring is the exact scaled forward
+recursion over whole texts.
 
 Defined cases: a null or empty text is one end token; without training texts every word is unknown; a text of any
 length is scored whole; a null id is held out; repeated rows score alike; only id and text are read.
@@ -36,6 +39,8 @@ HEAD, TAILS = 2048, 2048
 #: Tokens whose counts every executor holds (16 bytes each).
 KNOWN = 65_536
 PIECE = 256
+#: Tokens that a piece reads before and after those that it counts.
+LEAD = 16
 #: Tokens worked on at a time in training.
 BATCH = 1 << 18
 ALPHA = 0.1
@@ -160,21 +165,33 @@ class Model:
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
 
-    def expected(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """Expected counts of one set of sequences: starts, moves, emissions and the log likelihood, flat."""
+    def steady(self) -> np.ndarray:
+        """The share of each state far from the start."""
+        return np.linalg.matrix_power(self.move, 1024)[0]
+
+    def expected(self, seqs: list[np.ndarray], begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Expected counts of one set of sequences: starts, moves, emissions and the log likelihood, flat.
+
+        Only the tokens from begin to end of each, and the moves to them, are counted; where begin is 0 a text starts.
+        """
         k, m = self.emit.shape
-        seqs = sorted(seqs, key=len, reverse=True)
         sizes = np.array([len(s) for s in seqs])
+        order = np.argsort(-sizes, kind="stable")
+        seqs, sizes = [seqs[i] for i in order], sizes[order]
+        begin = np.zeros(len(seqs), np.int64) if begin is None else np.asarray(begin)[order]
+        end = sizes if end is None else np.asarray(end)[order]
         top, n = int(sizes[0]), len(seqs)
         live = np.searchsorted(-sizes, -np.arange(1, top + 1), "right")  # sequences longer than t, which come first
         obs = np.zeros((top, n), np.int64)
         for i, s in enumerate(seqs):
             obs[: len(s), i] = s
         by_symbol = np.ascontiguousarray(self.emit.T)
+        mask = (np.arange(top)[:, None] >= begin) & (np.arange(top)[:, None] < end)
+        first = np.where((begin == 0)[:, None], self.start, self.steady())
         alpha, scale = np.zeros((top, n, k)), np.ones((top, n))
         for t in range(top):
             a = live[t]
-            x = (self.start if t == 0 else alpha[t - 1, :a] @ self.move) * by_symbol[obs[t, :a]]
+            x = (first if t == 0 else alpha[t - 1, :a] @ self.move) * by_symbol[obs[t, :a]]
             scale[t, :a] = x.sum(axis=1)
             alpha[t, :a] = x / scale[t, :a, None]
         beta = np.ones((n, k))
@@ -185,13 +202,12 @@ class Model:
             gammas[t, :a] = alpha[t, :a] * beta[:a]
             if t:
                 back = by_symbol[obs[t, :a]] * beta[:a] / scale[t, :a, None]
-                moves += alpha[t - 1, :a].T @ back
+                moves += (alpha[t - 1, :a] * mask[t, :a, None]).T @ back
                 beta[:a] = back @ self.move.T
         moves *= self.move
-        mask = np.arange(top)[:, None] < sizes[None, :]
         for s in range(k):
             emits[:, s] = np.bincount(obs[mask], gammas[..., s][mask], m)
-        return np.concatenate([gammas[0].sum(axis=0), moves.ravel(), emits.T.ravel(), [np.log(scale[mask]).sum()]])
+        return np.concatenate([gammas[0][begin == 0].sum(axis=0), moves.ravel(), emits.T.ravel(), [np.log(scale[mask]).sum()]])
 
     def updated(self, counts: np.ndarray, mass: np.ndarray) -> Model:
         """The maximum of the expected counts, with a little of the corpus's own shares in every state."""
@@ -218,6 +234,24 @@ class Model:
         return back
 
 
+def _pieces(symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[int], list[int]]]:
+    """Pieces of texts, with the tokens that each counts, in sets of about BATCH tokens."""
+    pieces, begin, end, held, at = [], [], [], 0, 0
+    for size in sizes.tolist():
+        for k in range(at, at + size, PIECE):
+            low = max(at, k - LEAD)
+            pieces.append(symbols[low : min(k + PIECE + LEAD, at + size)])
+            begin.append(k - low)
+            end.append(min(k + PIECE, at + size) - low)
+            held += len(pieces[-1])
+            if held >= BATCH:
+                yield pieces, begin, end
+                pieces, begin, end, held = [], [], [], 0
+        at += size
+    if pieces:
+        yield pieces, begin, end
+
+
 def _step(seqs: DataFrame, model: Model) -> np.ndarray:
     """One pass over all training texts: the sums of the expected counts of all partitions."""
     import zstandard
@@ -231,17 +265,8 @@ def _step(seqs: DataFrame, model: Model) -> np.ndarray:
         for part in batches:
             for packed, sizes in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 own, n = np.frombuffer(unpack.decompress(packed), np.uint16), np.frombuffer(sizes, np.int32)
-                at, pieces, held = 0, [], 0
-                for size in n.tolist():
-                    for k in range(at, at + size, PIECE):
-                        pieces.append(own[k : min(k + PIECE, at + size)])
-                        held += len(pieces[-1])
-                        if held >= BATCH:
-                            total += sent.value.expected(pieces)
-                            pieces, held = [], 0
-                    at += size
-                if pieces:
-                    total += sent.value.expected(pieces)
+                for pieces, begin, end in _pieces(own, n):
+                    total += sent.value.expected(pieces, begin, end)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, width, 4096) // 4096, pa.int32()), pa.array([total[k : k + 4096].tolist() for k in range(0, width, 4096)], pa.list_(pa.float64()))], ["k", "x"])
 
     def add(table: pa.Table) -> pa.Table:
