@@ -131,6 +131,37 @@ def test_risk_is_corrected_for_the_prior():
     assert model.intercept < -1.5
 
 
+@pytest.mark.parametrize(("seed", "shift"), [(1, 0.0), (2, 4.0), (3, -4.0)])
+def test_steps_follow_the_non_negative_risk(seed, shift):
+    rng = np.random.default_rng(seed)
+    gp, gu, prior = rng.normal(shift, 1, 5), rng.normal(-shift / 2, 1, 9), 0.3
+    loss = lambda g: math.log1p(math.exp(-g))
+    mean = lambda values: sum(values) / len(values)
+
+    def parts(p, u):
+        return prior * mean([loss(g) for g in p]), mean([loss(-g) for g in u]) - prior * mean([loss(-g) for g in p])
+
+    down = parts(gp, gu)[1] < 0
+    assert down == (shift == 4.0)  # both branches are met
+    value = lambda p, u: -parts(p, u)[1] if down else sum(parts(p, u))
+    moved = lambda x, i, e: np.where(np.arange(len(x)) == i, x + e, x)
+    want_p = [(value(moved(gp, i, 1e-5), gu) - value(moved(gp, i, -1e-5), gu)) / 2e-5 for i in range(5)]
+    want_u = [(value(gp, moved(gu, i, 1e-5)) - value(gp, moved(gu, i, -1e-5))) / 2e-5 for i in range(9)]
+    got = toxicity.slopes(gp, gu, prior)
+    assert np.allclose(got[0], want_p, atol=1e-8)
+    assert np.allclose(got[1], want_u, atol=1e-8)
+
+
+def test_features_are_counted_over_all_documents(spark, documents):
+    texts = [d.text for d in documents.values()]
+    found, n = toxicity._frequencies(spark.createDataFrame([(t,) for t in texts] + [(None,)], "body string"), "body")
+    want = Counter()
+    for t in texts:
+        want.update(set(toxicity.features(*bytes_of(t))[1].tolist()))
+    assert n == len(texts) + 1
+    assert {int(f): int(found[f]) for f in np.flatnonzero(found)} == want
+
+
 # 3: near duplicates
 
 
@@ -364,6 +395,19 @@ def test_forward_and_baum_welch():
     assert np.allclose(model.expected(seqs), np.concatenate([start, move.ravel(), emit.ravel(), [sum(want)]]))
 
 
+def test_pieces_lose_no_transition():
+    rng = np.random.default_rng(4)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(9), 3))
+    sizes = np.array([1, 255, 256, 257, 1500])
+    symbols = rng.integers(0, 9, sizes.sum()).astype(np.uint16)
+    whole = model.expected(np.split(symbols, np.cumsum(sizes)[:-1]))
+    (got,) = [model.expected(*pieces) for pieces in hmm._pieces(symbols, sizes)]
+    assert np.isclose(got[:3].sum(), len(sizes))
+    assert np.isclose(got[3:12].sum(), sizes.sum() - len(sizes))
+    assert np.isclose(got[12:-1].sum(), sizes.sum())
+    assert np.allclose(got, whole, rtol=1e-3, atol=1e-3)
+
+
 # 8: byte-pair encoding
 
 ODD = ["", "  a  b ", "a \n b", " \n ", "a\n ", "<|endoftext|>x <|endoftext|>", "½² Ⅷx1", "a\x1cb \x1c c", "   x", "don't I'll  'd", "tab\t \tx", "日本語 テスト", "🙂🙂 a", "\r\n \r\n", "a  \nb", "é" * 300, "a" * 2000, " " * 50 + "x", "\u0085 \u0085", "x\n\n y"]
