@@ -467,6 +467,48 @@ def test_distance(spark):
     assert np.allclose(found, [w if w is not None else want for _, _, w in rows])
 
 
+CLASSES = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"""[.,;:!?'"()\-]""", r"[#*$%&|<>@+=/\\_~^\[\]{}`]"]
+
+
+def histograms(t):
+    """The shares of characters and of common words that a text's quality is judged by, as counts."""
+    chars = [len(re.findall(c, t)) for c in CLASSES]
+    words = Counter(w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t))
+    common = [words[w] for w in quality.WORDS]
+    return np.array([*chars, len(t) - sum(chars)], float), np.array([*common, words.total() - sum(common)], float)
+
+
+def jensen_shannon(p, q):
+    if not p.sum() or not q.sum():
+        return 0.0
+    p, q = p / p.sum(), q / q.sum()
+    part = lambda x: sum(a * math.log2(a / m) for a, m in zip(x, (p + q) / 2, strict=True) if a > 0)
+    return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+
+def test_verdicts(spark, documents):
+    rows = [(k, d.text, d.lang) for k, d in documents.items()]
+    rows += [(10**6 + i, t, "en") for i, t in enumerate(["7 " * 30 + prose(40), " ".join(f"{i}|{i}" for i in range(80)), "THE CAT " * 5 + prose(100).upper(), prose(70)])]
+    base = {k: (n := rules(t))[0] >= 50 and 100 * n[4] <= 50 * n[0] for k, t, _ in rows}
+    shapes = {k: histograms(t) for k, t, _ in rows}
+
+    def distances(chosen):
+        sums = {}
+        for k, _, lang in rows:
+            if base[k] and k in chosen:
+                sums[lang] = [a + b for a, b in zip(sums.get(lang, (0, 0)), shapes[k], strict=True)]
+        # a language without a reference isn't judged; short texts aren't judged by their words
+        return {k: (jensen_shannon(shapes[k][0], sums[lang][0]), jensen_shannon(shapes[k][1], sums[lang][1]) if rules(t)[0] >= 100 else 0.0) if lang in sums else (0.0, 0.0) for k, t, lang in rows}
+
+    near = lambda d: d[0] <= 0.30 and d[1] <= 0.34 and d[0] + d[1] <= 0.45
+    want = distances({k for k, d in distances(base.keys()).items() if near(d)})
+    found = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    for r in found:
+        assert np.allclose((r.js_chars, r.js_words), want[r.doc_id], atol=1e-9)
+        assert r.kept == (base[r.doc_id] and near(want[r.doc_id]))
+    assert any(not r.base_failed and not r.kept for r in found)
+
+
 # 10: boilerplate lines
 
 

@@ -1,7 +1,17 @@
 """The pipeline against a plain composition of what its stages promise."""
 
+import os
+import re
+import zlib
+from collections import defaultdict
+
 import corpus_pipeline
-from sqlverdict.llm import exact_dedup, near_dup, toxicity
+import numpy as np
+import pyarrow as pa
+from sqlverdict.llm import _bytes as B
+from sqlverdict.llm import bpe, exact_dedup, near_dup, pii, toxicity
+
+from tests.llm.test_near import components_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +45,49 @@ def test_run_is_the_stages_in_turn(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_stages_against_plain_python(spark, tmp_path):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{SF}/documents.parquet")
+
+    def after(name):
+        nonlocal docs
+        stages[name](spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        return {r.doc_id: r.text or "" for r in docs.collect()}
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def toxic(t):
+        own = set(toxicity.features(*B.flat(pa.array([t], pa.string())))[1].tolist())
+        return 1 / (1 + np.exp(-(sum(model.weights[f] for f in own) + model.intercept))) >= 0.3
+
+    texts = {k: t for k, t in texts.items() if not toxic(t)}
+    assert after("toxicity") == texts
+    first = {}
+    for k in sorted(texts):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[k]), k)
+    texts = {k: texts[k] for k in first.values()}
+    assert after("exact_dedup") == texts
+    ids = sorted(texts)
+    texts = {ids[i]: texts[ids[i]] for i in set(components_of([texts[k] for k in ids]))}
+    assert after("near_dup") == texts
+    changed = after("pii")
+    back = {r.doc_id: r.text or "" for r in pii.restore(docs, pii.key_of(spark)).collect()}
+    assert back == texts
+    assert 0 < sum(changed[k] != t for k, t in texts.items()) < len(texts)
+    tokenizer, pieces = Tokenizer.from_file(bpe.tokenizer_file()), defaultdict(list)
+    for r in stages["packing"](spark, docs, SF).collect():
+        pieces[r.doc_id].append(r)
+    assert pieces.keys() == changed.keys()
+    for k, t in changed.items():
+        whole, at = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], np.uint32), 0
+        for r in sorted(pieces[k], key=lambda r: r.start):
+            assert (r.start, r.ids_crc32) == (at, zlib.crc32(whole[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(whole)
