@@ -66,7 +66,7 @@ class Model:
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         doc, feature = features(data, offsets)
         some = self.weights[feature] != 0
-        pair = np.unique(doc[some] << BITS | feature[some])  # presence, not count
+        pair = B.distinct(doc[some] << BITS | feature[some])  # presence, not count
         g = np.bincount(pair >> BITS, self.weights[pair & MASK], len(offsets) - 1)
         return 1 / (1 + np.exp(-(g + self.intercept)))
 
@@ -155,8 +155,8 @@ def _frequencies(docs: DataFrame, text_col: str, wanted: np.ndarray | None = Non
         for part, data, offsets in B.chunks(batches):
             doc, feature = features(data, offsets)
             some = use[feature]
-            pair = np.unique(doc[some] << BITS | feature[some])
-            np.add.at(total, pair & MASK, 1)
+            pair = B.distinct(doc[some] << BITS | feature[some])
+            total += np.bincount(pair & MASK, minlength=1 << BITS)
             n += part.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], n))], ["f", "n"])
@@ -194,7 +194,7 @@ def _features(docs: DataFrame, kept: np.ndarray, most: int) -> list[np.ndarray]:
         for part, data, offsets in B.chunks(batches):
             doc, feature = features(data, offsets)
             some = use[feature]
-            pair = np.unique(doc[some] << BITS | feature[some])
+            pair = B.distinct(doc[some] << BITS | feature[some])
             at = np.searchsorted(pair, np.arange(part.num_rows + 1) << BITS)
             found = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((pair & MASK).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(B.ranges(B.prefix(data), offsets[:-1], offsets[1:]).view(np.int64)), found], ["h", "f"])
