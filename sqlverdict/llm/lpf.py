@@ -119,31 +119,53 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return rows.select("key", "body", "at").mapInArrow(run, "grp bigint, m bigint, key bigint, pos int, before int, ctx binary")
 
 
-def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """The order of all suffixes by their first 256 symbols, and for each power of two from 4 the ranks of the substrings of that length."""
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each key, from 1, and the order of the keys."""
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else rank
+    return rank, order
+
+
+def suffix_order(symbols: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The order of suffixes by their first 224 symbols, and for 7 and its doubles the ranks of the substrings of that length.
+
+    Symbols are 0 to 256. With wanted, a flag for each place, the order is of those wanted places alone that share
+    their first 112 symbols with another; the two longest substrings are ranked only where that order needs them.
+    """
     n = len(symbols)
     x = np.zeros(n + 256, np.int64)
     x[:n] = symbols
-    key = (x[:n] << 48) | (x[1 : n + 1] << 32) | (x[2 : n + 2] << 16) | x[3 : n + 3]
+    key = x[:n].copy()
+    for k in range(1, 7):
+        key = key << 9 | x[k : n + k]
     ranks: dict[int, np.ndarray] = {}
-    width = 4
+    width, places = 7, np.arange(n)
     while True:
         rank = np.zeros(n + 256, np.int64)
-        rank[:n] = np.unique(key, return_inverse=True)[1] + 1
+        rank[places], order = _ranked(key)
         ranks[width] = rank
-        if width == 256:
-            return np.argsort(rank[:n], kind="stable"), ranks
-        key = rank[:n] * (n + 1) + rank[width : n + width]
+        if width == 224:
+            return places[order], ranks
+        if wanted is not None and width == 56:
+            needed = wanted.copy()
+            needed[112:] |= wanted[:-112]
+            places = np.flatnonzero(needed)
+        elif wanted is not None and width == 112:
+            places = np.flatnonzero(wanted)
+            places = places[np.bincount(rank[:n])[rank[places]] > 1]
+        key = rank[places] * (n + 1) + rank[places + width]
         width *= 2
 
 
 def common(symbols: np.ndarray, ranks: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The lengths of the common prefixes of suffixes, as far as 255."""
+    """The lengths of the common prefixes of suffixes, as far as 223."""
     size = np.zeros(len(i), np.int64)
-    for width in (128, 64, 32, 16, 8, 4):
+    for width in (112, 56, 28, 14, 7):
         size += width * (ranks[width][i + size] == ranks[width][j + size])
     same = np.ones(len(i), dtype=bool)
-    for _ in range(3):
+    for _ in range(6):
         same &= symbols[i + size] == symbols[j + size]
         size += same
     return size
@@ -182,7 +204,6 @@ def block_matches(contexts: list[bytes], first: np.ndarray, last: np.ndarray, ow
     base = np.concatenate([[0], np.cumsum(lengths + 1)])
     symbols = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
     symbols[base[1:] - 1] = 0
-    order, ranks = suffix_order(symbols)
     size = np.maximum(last - first + 1, 0)
     at = np.repeat(np.arange(len(contexts)), size)
     place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + first[at]
@@ -191,7 +212,7 @@ def block_matches(contexts: list[bytes], first: np.ndarray, last: np.ndarray, ow
         at, place = at[once], place[once]
     wanted = np.zeros(len(symbols), dtype=bool)
     wanted[base[at] + place] = True
-    order = order[wanted[order]]
+    order, ranks = suffix_order(symbols, wanted)
     lcp = np.zeros(len(order), np.int64)
     if len(order) > 1:
         lcp[1:] = common(np.append(symbols, np.zeros(256, np.int64)), ranks, order[:-1], order[1:])
