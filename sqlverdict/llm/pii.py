@@ -9,16 +9,18 @@ half moved by a keyed function of the other, which permutes Z_a x Z_b for any a
 
 * card: 13 to 19 digits that pass the Luhn check; all digits but the last are permuted and the check digit is set anew;
   in a run of digit groups each such number that is whole groups (those in a usual layout first, then the longest)
-* phone: +1 numbers of the North American plan; area, exchange and line stay in their ranges; numbers with an area
-  or exchange under 200 move among themselves
+* phone: numbers of the North American plan, with +1 or without; area, exchange and line stay in their ranges; numbers
+  with an area or exchange under 200, looked for behind +1 alone, move among themselves
+* abroad: + and 8 to 15 digits, in groups or not; the first two stay (digits that follow by one space are taken as its part)
 * ipv4: four octets of 0 to 255
+* ipv6: eight groups, or up to seven with :: behind the second or a later one; pseudonyms are in lower case, and so go back
 * ssn: area, group and serial in the ranges that are issued
 * date: ISO dates that exist, of the years 1800 to 2199 (146097 = 189 x 773 days, so no cycle walking)
 
 Text kinds (a Feistel network on strings: letters move among letters, digits among digits):
 
 * email: the local part, without regard to case (it keeps its own)
-* secret: access keys, and what follows password= or token =, in whatever case
+* secret: access keys that begin with AKIA, sk- or ghp_, and what follows password= or token =, in whatever case
 
 Defined cases: a null or empty text stays empty; what looks like a value but is not valid stays as it is;
 repeated rows get equal results; texts of any length are one row's work; columns other than id and text are not used.
@@ -40,14 +42,18 @@ TEST_KEY = "corpus-pseudonyms-1"
 ROUNDS = 8
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?i:password)=)[A-Za-z0-9]{8,}|(?<=(?i:token) = \")[A-Za-z0-9]{16,}(?=\")",
-    "phone": r"(?<![\d+])\+1 ?\(?\d{3}\)?[ \-]\d{3}-\d{4}(?!\d)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?:sk-|ghp_)[A-Za-z0-9]{20,})|(?i:password)=(?![A-Za-z0-9._%+\-]{1,64}@)[A-Za-z0-9]{8,}|(?i:token) = \"[A-Za-z0-9]{16,}(?=\")",
+    "phone": r"(?<![\d+])\+1 ?\(?\d{3}\)?[ \-]\d{3}-\d{4}(?!\d)|(?<![\d+(])(?<!\d[.\-])(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .\-])[2-9]\d\d[.\-]\d{4}(?![\d]|[.\-]\d)",
     "date": r"(?<![\d\-])(?:18|19|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "ipv6": r"(?<![\w:.])(?:(?:[\dA-Fa-f]{1,4}:){7}[\dA-Fa-f]{1,4}|(?:[\dA-Fa-f]{1,4}:){2,6}(?::[\dA-Fa-f]{1,4}){1,5})(?![\w:])",
 }
-#: Between two groups of digits of a run: a date, an SSN or an IP address isn't part of it.
-GAP = rf"[ \-](?!{FORMS['date']}|{FORMS['ssn']}|{FORMS['ipv4']})"
+#: What precedes the part of a secret that is permuted.
+MARK = r"^(?:AKIA|sk-|ghp_|(?i:password)=|(?i:token) = \")"
+#: Between two groups of digits of a run: a date, an SSN, a phone or an IP address isn't part of it.
+GAP = rf"[ \-](?!{FORMS['date']}|{FORMS['ssn']}|{FORMS['ipv4']}|{FORMS['phone']})"
+FORMS["abroad"] = rf"(?<![\w+])\+[2-9]\d(?:(?:{GAP})?\(?\d\)?){{6,13}}(?!\d)"
 # a whole run of groups, of 13 digits or more, but no lone group of more than 19
 FORMS["card"] = rf"(?<![\d\-])(?=\d(?:(?:{GAP})?\d){{12}})(?!\d{{20,}}+(?!{GAP}\d))\d++(?:{GAP}\d++)*+"
 #: Usual layouts of card numbers.
@@ -95,20 +101,25 @@ def feistel(value: Column, a: Column | int, b: Column | int, key: str, tweak: st
     return F.aggregate(rounds, start, back if isinstance(key, Back) else turn, lambda s: s["l"] * s["b"] + s["r"])
 
 
-def _shifted(text: Column, digest: Column, sign: int) -> Column:
-    """Each letter and digit moved within its own kind by the bytes of a hexadecimal digest, or back."""
+def _shifted(text: Column, digest: Column, sign: int, hexadecimal: bool) -> Column:
+    """Each letter and digit moved within its own kind (or all within 0 to f) by the bytes of a digest, or back."""
 
     def moved(c: Column, i: Column) -> Column:
         code = F.ascii(c)
         by = F.conv(F.substr(digest, F.pmod(i, F.lit(32)) * 2 + F.lit(1), F.lit(2)), 16, 10).cast("int")
+        if hexadecimal:
+            return F.lower(F.hex(F.pmod(F.conv(c, 16, 10).cast("int") + sign * by, F.lit(16))))
         to = lambda low, n: F.char(F.pmod(code - F.lit(low) + sign * by, F.lit(n)) + F.lit(low))
         return F.when(code.between(48, 57), to(48, 10)).when(code.between(65, 90), to(65, 26)).when(code.between(97, 122), to(97, 26)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), moved), "")
 
 
-def feistel_text(text: Column, key: str, tweak: str) -> Column:
-    """A keyed permutation of the strings with the same sequence of letters, digits and other characters."""
+def feistel_text(text: Column, key: str, tweak: str, hexadecimal: bool = False) -> Column:
+    """A keyed permutation of the strings with the same sequence of letters, digits and other characters.
+
+    hexadecimal: of the strings of as many characters 0 to f instead.
+    """
     half = (F.length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1).alias("r"))
 
@@ -116,7 +127,7 @@ def feistel_text(text: Column, key: str, tweak: str) -> Column:
         return F.sha2(F.encode(F.concat_ws("|", F.lit(str(key)), F.lit(tweak), i.cast("string"), F.lit(side), other), "UTF-8"), 256)
 
     def moved(part: Column, digest: Column, sign: int) -> Column:
-        return F.when(part == "", "").otherwise(_shifted(part, digest, sign))
+        return F.when(part == "", "").otherwise(_shifted(part, digest, sign, hexadecimal))
 
     def turn(s: Column, i: Column) -> Column:
         return _let(moved(s["l"], hashed(i, "l", s["r"]), 1), lambda n: F.struct(n.alias("l"), moved(s["r"], hashed(i, "r", n), 1).alias("r")))
@@ -128,15 +139,15 @@ def feistel_text(text: Column, key: str, tweak: str) -> Column:
     return F.aggregate(rounds, start, back if isinstance(key, Back) else turn, lambda s: F.concat(s["l"], s["r"]))
 
 
-def _digits(text: Column) -> Column:
-    return F.regexp_replace(text, r"\D", "")
+def _digits(text: Column, digit: str = r"\d") -> Column:
+    return F.regexp_replace(text, f"[^{digit}]", "")
 
 
-def _filled(layout: Column, digits: Column) -> Column:
+def _filled(layout: Column, digits: Column, digit: str = r"\d") -> Column:
     """The layout with its digits replaced, in order, by the given ones."""
     chars = F.split(layout, "")
-    nth = lambda i: F.length(_digits(F.substr(layout, F.lit(1), i + 1)))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"\d"), F.substr(digits, nth(i), F.lit(1))).otherwise(c)), "")
+    nth = lambda i: F.length(_digits(F.substr(layout, F.lit(1), i + 1), digit))
+    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(f"[{digit}]"), F.substr(digits, nth(i), F.lit(1))).otherwise(c)), "")
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -213,9 +224,15 @@ def _phone(m: Column, key: str) -> Column:
         pair = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
         spread = lambda p: F.when(p < 200_000, p).otherwise((_over(p - 200_000, 200) + 200) * 1000 + F.pmod(p - 200_000, F.lit(200)))
         other = _let(feistel(pair * 10_000 + line, 360_000, 10_000, key, "phone outside"), lambda v: F.concat(F.lit("1"), _padded(spread(_over(v, 10_000)), 6), _padded(F.pmod(v, F.lit(10_000)), 4)))
-        return _filled(m, F.when((area >= 200) & (exchange >= 200), new).otherwise(other))
+        return F.when((area >= 200) & (exchange >= 200), new).otherwise(other)
+
+    # a number has one pseudonym, with +1 or without
+    full = _digits(F.when(m.startswith("+"), m).otherwise(F.concat(F.lit("1"), m)))
+    return _let(_let(full, done), lambda d: _filled(m, F.when(m.startswith("+"), d).otherwise(F.substr(d, F.lit(2)))))
 
-    return _let(_digits(m), done)
+
+def _abroad(m: Column, key: str) -> Column:
+    return _let(_digits(m), lambda d: _let(F.concat(F.substr(d, F.lit(1), F.lit(2)), feistel_text(F.substr(d, F.lit(3)), key, "abroad")), lambda new: _filled(m, new)))
 
 
 def _over(v: Column, n: int) -> Column:
@@ -228,6 +245,13 @@ def _ipv4(m: Column, key: str) -> Column:
     return _let(feistel(value, 65536, 65536, key, "ipv4"), lambda v: F.concat_ws(".", *[F.pmod(_over(v, 256**k), F.lit(256)).cast("string") for k in (3, 2, 1)], F.pmod(v, F.lit(256)).cast("string")))
 
 
+def _ipv6(m: Column, key: str) -> Column:
+    digit = r"\dA-Fa-f"
+    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+    new = _let(feistel_text(F.lower(_digits(m, digit)), key, "ipv6", hexadecimal=True), lambda d: _filled(m, d, digit))
+    return F.when(m.contains("::") & (groups > 7), m).otherwise(new)
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substr(m, F.lit(i), F.lit(n)).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
     dense = F.when(area > 666, area - 2).otherwise(area - 1)  # 898 areas: 001-899 without 666
@@ -252,19 +276,19 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    return F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), feistel_text(F.substr(m, F.lit(5)), key, "secret"))).otherwise(feistel_text(m, key, "secret"))
+    return _let(F.regexp_replace(m, MARK, ""), lambda body: F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(body)), feistel_text(body, key, "secret")))
 
 
 def kind_of(m: Column) -> Column:
     """Which form a match has."""
     whole = lambda k: m.rlike(f"^(?:{FORMS[k]})$")
-    tests = [("email", m.contains("@")), ("phone", m.startswith("+")), *[(k, whole(k)) for k in ("date", "ssn", "ipv4")], ("card", m.rlike(r"^\d{13,19}$|^\d+[ \-][\d \-]+$"))]
-    return reduce(lambda rest, t: F.when(t[1], t[0]).otherwise(rest), reversed(tests), F.lit("secret"))
+    tests = [("email", m.contains("@")), ("secret", m.rlike(MARK)), ("abroad", m.rlike(r"^\+[2-9]")), *[(k, whole(k)) for k in ("phone", "date", "ssn", "ipv4", "ipv6")]]
+    return reduce(lambda rest, t: F.when(t[1], t[0]).otherwise(rest), reversed(tests), F.lit("card"))
 
 
 def _replaced(m: Column, key: str) -> Column:
     """The pseudonym of one match as text, and n, the number of values in it."""
-    by = {"email": _email, "phone": _phone, "date": _date, "ssn": _ssn, "ipv4": _ipv4}
+    by = {"email": _email, "phone": _phone, "abroad": _abroad, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "ipv6": _ipv6}
     one = lambda text: F.struct(text.alias("text"), F.lit(1).alias("n"))
     return _let(kind_of(m), lambda k: F.when(k == "card", _cards(m, key)).otherwise(one(reduce(lambda rest, kind: F.when(k == kind, by[kind](m, key)).otherwise(rest), by, _secret(m, key)))))
 
@@ -286,8 +310,8 @@ def restore(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """docs with personal data in the text replaced; found_col gets the number of values found."""
     text = text_of(text_col)
-    # every form has a digit, an @ or one of the words before a secret: most texts are passed by with one cheap scan
-    hit = text.rlike("[0-9@]") | text.contains("AKIA") | text.rlike("(?i:password)=|(?i:token) = ")
+    # every form has a digit, an @, the mark of a secret or the colons of an address: most texts are passed by with cheap scans
+    hit = text.rlike("[0-9@]") | text.rlike("AKIA|sk-|ghp_|::|(?i:password)=|(?i:token) = |(?:[A-Fa-f]{1,4}:){7}")
     parts = F.when(hit, F.struct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found"), F.split(text, ANY, -1).alias("pieces")))
 
     def rebuilt(x: Column) -> Column:  # the pieces between the matches are one more than the matches

@@ -59,6 +59,14 @@ def test_pseudonyms_go_back(spark):
         "AKIA" + "".join(r.choice("ABCXYZ0189") for _ in range(16)),
         "password=Ab3defgh9",
         'token = "0123456789abcdefXYZ"',
+        "(988) 555-2485",
+        "988-555-2485",
+        "988.555.2485",
+        "+49 151 2345678",
+        "+442079460958",
+        "sk-" + "aZ09" * 6,
+        "ghp_" + "abcd" * 9,
+        "password=4041894974608795",
     ]
     texts = [f"before {v} after" for v in values] + ["nothing", "", " and ".join(values[:1] + values[5:])]
     docs = spark.createDataFrame(list(enumerate(texts)), TEXT)
@@ -80,6 +88,41 @@ def test_an_address_is_linked_in_any_case(spark):
     assert found[3].lower() != found[0].lower()
 
 
+def test_phones_are_linked_in_any_layout(spark):
+    forms = ["+1 (988) 555-2485", "(988) 555-2485", "988-555-2485", "988.555.2485", "call 988-555-2485.", "7 988-555-2485 4041894974608795", "+49 151 2345678", "+491512345678", "+49 (151) 2345678 2031-01-02"]
+    rows = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(forms)), TEXT), "k", found_col="n").collect()}
+    digits = lambda k: "".join(c for c in rows[k].text if c.isdigit())
+    plan, abroad = digits(1), digits(7)
+    assert plan != "9885552485"
+    assert len(plan) == 10
+    assert [digits(k) for k in range(6)] == ["1" + plan, *[plan] * 4, "7" + plan + digits(5)[11:]]
+    assert abroad[:2] == "49"
+    assert abroad != "491512345678"
+    assert digits(6) == digits(8)[:-8] == abroad
+    assert [rows[k].n for k in range(9)] == [1] * 5 + [2, 1, 1, 2]
+
+
+def test_long_addresses_are_permuted(spark):
+    plain = ["2001:db8:85a3::8a2e:370:7334", "fe80:0:0:0:202:b3ff:fe1e:8329", "aa:bb::c", "aaaa:bbbb:cccc:dddd:eeee:ffff:abcd:fade"]
+    frame = spark.createDataFrame([*enumerate(plain), (4, plain[0].upper()), (5, "a:b:c:d:e::1:2:3:4"), (6, "std::vector 10:20:30 aa:bb:cc:dd:ee:ff")], TEXT)
+    hidden = pii.pseudonymize(frame, "k")
+    found = {r.doc_id: r.text for r in hidden.collect()}
+    for k, t in enumerate(plain):
+        assert found[k] != t
+        assert [len(g) for g in found[k].split(":")] == [len(g) for g in t.split(":")]
+        assert set(found[k]) <= set("0123456789abcdef:")
+    assert found[4] == found[0]
+    assert (found[5], found[6]) == ("a:b:c:d:e::1:2:3:4", "std::vector 10:20:30 aa:bb:cc:dd:ee:ff")
+    back = {r.doc_id: r.text for r in pii.restore(hidden, "k").collect()}
+    assert [back[k] for k in range(5)] == [*plain, plain[0]]
+
+
+def test_what_only_looks_like_a_value_stays(spark):
+    texts = ["188-555-2485", "1-988-555-2485-7", "988-155-2485", "+1512", "+49 151", "2 + 34567890123456789", "password=abcdefgh@", "sk-short", "12 345 678"]
+    found = [r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), TEXT), "k").orderBy("doc_id").collect()]
+    assert found == texts
+
+
 def test_the_key_is_the_session_s(spark):
     session = spark.newSession()
     assert pii.key_of(session) == pii.TEST_KEY
