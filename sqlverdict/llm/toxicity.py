@@ -37,6 +37,8 @@ POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 4096
 BITS = 20
 MASK = (1 << BITS) - 1
 HEADS = (4, 5, 6)
+#: Bytes of text worked on at a time: a worker keeps what it needed for the longest piece while later stages run.
+PIECE = 1 << 19
 #: A feature is kept if positives have it so many times, and so many standard deviations, more often than unlabelled texts.
 LIFT, SIGMAS = 3.0, 4.0
 THRESHOLD = 0.3
@@ -152,7 +154,7 @@ def _frequencies(docs: DataFrame, text_col: str, wanted: np.ndarray | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0
         use = np.ones(1 << BITS, bool) if sent.value is None else np.isin(np.arange(1 << BITS), sent.value)
-        for part, data, offsets in B.chunks(batches):
+        for part, data, offsets in B.chunks(batches, limit=PIECE):
             doc, feature = features(data, offsets)
             some = use[feature]
             pair = B.distinct(doc[some] << BITS | feature[some])
@@ -175,7 +177,7 @@ def _apart(docs: DataFrame, text_col: str) -> DataFrame:
     keys = ["k1", "k2", "k3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in B.chunks(batches):
+        for part, data, offsets in B.chunks(batches, limit=PIECE):
             doc, feature = features(data, offsets)
             at = np.searchsorted(order := np.sort(doc << BITS | feature), np.arange(part.num_rows + 1) << BITS)
             found = np.array([key_of(order[a:b] & MASK) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64).reshape(-1, 3)
@@ -191,7 +193,7 @@ def _features(docs: DataFrame, kept: np.ndarray, most: int) -> list[np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.isin(np.arange(1 << BITS), sent.value)
-        for part, data, offsets in B.chunks(batches):
+        for part, data, offsets in B.chunks(batches, limit=PIECE):
             doc, feature = features(data, offsets)
             some = use[feature]
             pair = B.distinct(doc[some] << BITS | feature[some])
@@ -242,7 +244,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
         for part in batches:
             column = part.column(at)
             text = column if pa.types.is_string(column.type) else column.cast(pa.string())
-            found = [own.scores(data, offsets) for _, data, offsets in B.chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])]))]
+            found = [own.scores(data, offsets) for _, data, offsets in B.chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])]), limit=PIECE)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate([*found, np.zeros(0)]))], [*part.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
