@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from sqlverdict.metrics.layer import Dimension, Manifest, Measure, Metric, MetricQuery, SemanticModel
 from sqlverdict.model import ColumnPresence, ColumnType, NotNull, RowCount, Unique
 from sqlverdict.operators import accuracy, align, bagdiff, checks, keyeddiff
-from sqlverdict.plans.proof import PlanEquivalence
+from sqlverdict.plans.proof import PlanEquivalence, ordered
 from sqlverdict.scorers import outcomes_frame
 from sqlverdict.sources.session import QueryRunner
 
@@ -508,6 +508,46 @@ for _name in GOLD:
     _gold(_name)
 
 
+#: Queries that both dialects read alike: what a source gives back is compared row by row.
+PASSED_ON = {
+    "intersect": "SELECT c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0 INTERSECT SELECT s_nationkey FROM supplier",
+    "except": "SELECT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0",
+    "recursive": "WITH RECURSIVE step(n, total) AS (SELECT 1 AS n, 1 AS total UNION ALL SELECT n + 1, total + n + 1 FROM step WHERE n < 20) SELECT n_name, total FROM step JOIN nation ON n = n_nationkey",
+    "range_join": "SELECT r_name, count(*) AS n, min(p_partkey) AS least FROM part JOIN region ON p_size > 10 * r_regionkey AND p_size <= 10 * r_regionkey + 15 GROUP BY r_name",
+    "grouping_sets": "SELECT o_orderstatus, o_custkey % 5 AS fifth, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_custkey % 5))",
+}
+
+
+def _passed_on(name: str) -> None:
+    sql = PASSED_ON[name]
+
+    def run(s: SparkSession, _: str) -> DataFrame:
+        return QueryRunner(s, "").run(sql).frame
+
+    run.__name__ = f"passed_on_{name}"
+    query(sql)(run)
+
+
+for _name in PASSED_ON:
+    _passed_on(_name)
+
+
+#: Whether the last step of a query orders its rows.
+ORDERED = {
+    "by key": ("SELECT n_name FROM nation ORDER BY n_nationkey", True),
+    "top few": ("SELECT n_name FROM nation ORDER BY 1 LIMIT 3", True),
+    "inside": ("SELECT count(*) AS n FROM (SELECT n_name FROM nation ORDER BY 1 LIMIT 3) x", False),
+    "ranked": ("SELECT row_number() OVER (ORDER BY n_name) AS r FROM nation", False),
+    "named step": ("WITH x AS (SELECT n_name FROM nation) SELECT n_name FROM x ORDER BY n_name DESC", True),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, (_, v) in ORDERED.items()) + ") t(name, ordered)")
+def order_detection(s: SparkSession, _: str) -> DataFrame:
+    """Tells from analyzed plans which queries over nation promise an order."""
+    return s.createDataFrame([(k, ordered(s, sql)) for k, (sql, _) in ORDERED.items()], "name string, ordered boolean")
+
+
 @query("SELECT 'ok' AS kind, (SELECT count(*) FROM nation)::BIGINT AS rows UNION ALL SELECT 'query_failed', 0 UNION ALL SELECT 'duplicate_columns', 0 UNION ALL SELECT 'budget_exceeded', 0")
 def execution_errors(s: SparkSession, _: str) -> DataFrame:
     """What running good and bad queries gives: an error's kind, or the rows."""
