@@ -21,19 +21,26 @@ from sqlverdict.llm._spark import load, text_of, unused
 
 MIN_SITES = 10
 LG_K = 12
+#: White space around lines. Trimmed without a regular expression, which takes several times as long, is quadratic in
+#: a run of blanks within a line, and whose $ also matches before a last U+0085, U+2028 or U+2029.
+_BLANKS = " \t\n\x0b\f\r"
+
+
+def _full(line: Column) -> Column:
+    """Whether a line isn't blank; looks no further than its first other character."""
+    return F.ltrim(line, F.lit(_BLANKS)) != ""
 
 
 def _hash(line: Column) -> Column:
-    """A line's 64-bit hash, without the white space around it; null for a blank line."""
-    core = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(core != "", F.xxhash64(core))
+    """A line's 64-bit hash, without the white space around it."""
+    return F.xxhash64(F.btrim(line, F.lit(_BLANKS)))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """One row for each line that isn't blank: id, site, hash."""
     site = F.coalesce(F.col(site_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), site.alias("site"), F.explode(F.split(text_of(text_col), "\n")).alias("line"))
-    return rows.select("id", "site", _hash(F.col("line")).alias("hash")).where("hash IS NOT NULL")
+    return rows.where(_full(F.col("line"))).select("id", "site", _hash(F.col("line")).alias("hash"))
 
 
 def boilerplate(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -55,11 +62,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     by_doc = found.select("id", "hash").join(bad, "hash").groupBy(F.col("id").alias(own_id)).agg(F.collect_set("hash").alias(hits))
     joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col(own_id)), "left")
     parts = F.split(text_of(text_col), "\n")
-    gone = lambda line: F.coalesce(F.array_contains(hits, _hash(line)), F.lit(False))
-    text = F.when(F.col(hits).isNull(), text_of(text_col)).otherwise(F.array_join(F.filter(parts, lambda x: ~gone(x)), "\n"))
+    stay = F.filter(parts, lambda x: ~(_full(x) & F.array_contains(hits, _hash(x))))
+    text = F.when(F.col(hits).isNull(), text_of(text_col)).otherwise(F.array_join(stay, "\n"))
     extra = []
     if counts:
-        extra = [F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"), F.when(F.col(hits).isNull(), 0).otherwise(F.size(F.filter(parts, gone))).cast("long").alias("n_removed")]
+        extra = [F.size(F.filter(parts, _full)).cast("long").alias("n_lines"), F.when(F.col(hits).isNull(), 0).otherwise(F.size(parts) - F.size(stay)).cast("long").alias("n_removed")]
     return joined.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns], *extra)
 
 

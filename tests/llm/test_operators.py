@@ -524,3 +524,27 @@ def test_boilerplate(spark):
         kept = [x for x in t.split("\n") if not x.strip() or len(spread[x.strip()]) < 10]
         assert found[k].text == "\n".join(kept)
         assert found[k].n_removed == t.count("\n") + 1 - len(kept)
+
+
+def test_boilerplate_trims_ascii_blanks_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    # each core is on 7 sites or on 14; a blank before a last U+2028 belongs to the line
+    blanks = [" ", "\t", "\x0b", "\f", "\r", " \r"]
+    rows = [(i, f"s{i}", f"{blanks[i % 6]}wide{blanks[i % 5]}\n{blanks[i % 4]}\nnarrow{' ' * (i % 2)}\u2028\nnext{' ' * (i % 2)}\u0085\n\xa0thin{i % 2}\xa0\n\x1cfs {i % 2}\u3000") for i in range(14)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {tuple(r) for r in line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert found == set(db.execute(line_dedup.OP10_SQL).fetchall())
+    assert {(r[1], r[2]) for r in found} == {(5, 1)}
+
+
+def test_boilerplate_hashes_lines_without_regular_expressions(spark):
+    # a regular expression is quadratic in the run of blanks, and takes most of the time of all other lines
+    run = "a" + " " * 300_000 + "b"
+    docs = spark.createDataFrame([(i, f"s{i}", f"{run}\nown line {i}") for i in range(10)], "doc_id long, source string, text string")
+    out = line_dedup.remove_boilerplate(docs, counts=True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "split(" in plan and "regexp" not in plan and "rlike" not in plan
+    assert {(r.text, r.n_lines, r.n_removed) for r in out.collect()} == {(f"own line {i}", 2, 1) for i in range(10)}
